@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.formatting import collapse
 from ledgerloom.llm.linked import group_pairs
 from ledgerloom.llm.sample import stable_sample
 from ledgerloom.llm.splits import grouped_split
+from ledgerloom.llm.tokens import encode_corpus
 from ledgerloom.sources.tables import table
 
 SAMPLE_RATE, SAMPLE_SALT = 0.1, "sample-1:"
@@ -33,9 +35,28 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("case_id", "group_id", "component", "split")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of either filing table that were delivered more than once, with their copies."""
+    keys = {
+        "co_filings": F.upper(F.regexp_replace("transactionid", r"[^\p{L}\p{N}]", "")),
+        "ct_filings": F.col("id_lien_flng_nbr"),
+    }
+    parts = []
+    for name, key in keys.items():
+        rows = table(spark, folder, name)
+        found = collapse(spark, rows, rows.columns)
+        parts.append(found.select(F.lit(name).alias("source_table"), key.alias("record_key"), "n_copies"))
+    return parts[0].unionByName(parts[1])
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document by the vocabulary byte_bpe_50k."""
+    return encode_corpus(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", "byte_bpe_50k")
+
+
 def queries() -> dict:
     """Name -> callable."""
-    return {"p1_found": p1_found, "p2_sample": p2_sample, "p4_splits": p4_splits}
+    return {"p1_found": p1_found, "p2_sample": p2_sample, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids}
 
 
 def oracle_sql() -> dict[str, str]:
