@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.formatting import collapse
+from ledgerloom.llm.leaks import leaks
 from ledgerloom.llm.linked import group_pairs
 from ledgerloom.llm.sample import stable_sample
 from ledgerloom.llm.splits import grouped_split
@@ -54,9 +55,14 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", "byte_bpe_50k")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of a held-out item."""
+    return leaks(spark, table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
 def queries() -> dict:
     """Name -> callable."""
-    return {"p1_found": p1_found, "p2_sample": p2_sample, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p2_sample": p2_sample, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
