@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.formatting import collapse
 from ledgerloom.llm.leaks import leaks
 from ledgerloom.llm.linked import group_pairs
+from ledgerloom.llm.quality import corpus_stats, not_prose
 from ledgerloom.llm.sample import stable_sample
 from ledgerloom.llm.splits import grouped_split
 from ledgerloom.llm.tokens import encode_corpus
@@ -60,9 +61,21 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(spark, table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are lists, tables or junk."""
+    return not_prose(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality statistics of every document."""
+    return corpus_stats(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
     """Name -> callable."""
-    return {"p1_found": p1_found, "p2_sample": p2_sample, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_sample": p2_sample, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found,
+        "p10_found": p10_found, "p10_stats": p10_stats,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
