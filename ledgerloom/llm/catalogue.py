@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.addresses import same_place
 from ledgerloom.llm.formatting import collapse
 from ledgerloom.llm.leaks import leaks
 from ledgerloom.llm.linked import group_pairs
@@ -37,6 +38,22 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("case_id", "group_id", "component", "split")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of debtor records of either register at the same place."""
+    co, ct = table(spark, folder, "co_debtors"), table(spark, folder, "ct_filings")
+    records = co.select(
+        F.concat(F.lit("CO:"), "debtorid").alias("key"), F.col("address1").alias("street"), "city", F.col("zipcode").alias("code")
+    ).unionByName(
+        ct.select(
+            F.concat(F.lit("CT:"), "id_lien_flng_nbr").alias("key"),
+            F.col("debtor_ad_str1").alias("street"),
+            F.col("debtor_ad_city").alias("city"),
+            F.col("debtor_ad_zip").alias("code"),
+        )
+    )
+    return same_place(spark, records.filter("key is not null and street is not null").distinct())
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records of either filing table that were delivered more than once, with their copies."""
     keys = {
@@ -73,7 +90,7 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> callable."""
-    return {"p1_found": p1_found, "p2_sample": p2_sample, "p4_splits": p4_splits, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found,
+    return {"p1_found": p1_found, "p2_sample": p2_sample, "p4_splits": p4_splits, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found,
         "p10_found": p10_found, "p10_stats": p10_stats,
     }
 
