@@ -233,7 +233,8 @@ def _substitution(x: tuple, y: tuple) -> float:
 def alignment_cost(a: Place, b: Place) -> float:
     """The least cost of aligning the tokens of two addresses, gaps being charged to open and to extend."""
     x, y = _tokens(a), _tokens(b)
-    gap = [[OPEN.get(t[0], NEVER) for t in side] for side in (x, y)]
+    # A part may be missing from one address, not be left out of both.
+    gap = [[NEVER if t[0] in dict(other) else OPEN.get(t[0], NEVER) for t in own] for own, other in ((x, y), (y, x))]
     inf = NEVER * 10
     m = [[inf] * (len(y) + 1) for _ in range(len(x) + 1)]
     left, up = [r[:] for r in m], [r[:] for r in m]
@@ -312,7 +313,8 @@ def _candidates(cases: DataFrame) -> DataFrame:
 
     marked = cases.select("id", *_PARTS).mapInArrow(banded, "id long, city string, zip string, bands array<long>")
     flat = marked.select("id", "city", "zip", F.explode("bands").alias("band"))
-    where = F.filter(F.array(F.concat(F.lit("Z"), "zip"), F.concat(F.lit("C"), F.substring("city", 1, 5)), F.concat(F.lit("D"), F.reverse(F.substring(F.reverse("city"), 1, 5)), F.substring("city", 1, 1))), lambda w: F.length(w) > 1)
+    ends = {"Z": F.col("zip"), "B": F.substring("city", 1, 3), "E": F.expr("right(city, 5)")}
+    where = F.filter(F.array(*[F.concat(F.lit(k), c) for k, c in ends.items()]), lambda w: F.length(w) > 1)
     keyed = flat.withColumn("where", F.explode(where)).select("id", F.xxhash64("band", "where").alias("bucket"))
     mates = keyed.select(F.col("id").alias("b"), "bucket")
     pairs = keyed.join(mates, "bucket").filter("id < b").select(F.col("id").alias("a"), "b")
