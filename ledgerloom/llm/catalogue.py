@@ -9,6 +9,7 @@ from ledgerloom.llm.addresses import same_place
 from ledgerloom.llm.formatting import collapse
 from ledgerloom.llm.leaks import leaks
 from ledgerloom.llm.linked import group_pairs
+from ledgerloom.llm.names import same_name
 from ledgerloom.llm.quality import corpus_stats, not_prose
 from ledgerloom.llm.sample import stable_sample
 from ledgerloom.llm.splits import grouped_split
@@ -31,6 +32,15 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
     return stable_sample(rows, "unique_id", SAMPLE_RATE, SAMPLE_SALT)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of debtor records of either register that name the same person or organisation."""
+    co, ct = table(spark, folder, "co_debtors"), table(spark, folder, "ct_filings")
+    records = co.select(F.concat(F.lit("CO:"), "debtorid").alias("key"), F.col("organizationname").alias("name")).unionByName(
+        ct.select(F.concat(F.lit("CT:"), "id_lien_flng_nbr").alias("key"), F.col("debtor_nm_bus").alias("name"))
+    )
+    return same_name(spark, records.filter("key is not null and name is not null").distinct())
+
+
 def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     """The split of every row of the cases."""
     cases = table(spark, folder, "candidates").select("case_id", "group_id")
@@ -90,7 +100,7 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> callable."""
-    return {"p1_found": p1_found, "p2_sample": p2_sample, "p4_splits": p4_splits, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found,
+    return {"p1_found": p1_found, "p2_sample": p2_sample, "p3_found": p3_found, "p4_splits": p4_splits, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found,
         "p10_found": p10_found, "p10_stats": p10_stats,
     }
 
