@@ -137,7 +137,7 @@ NICKNAMES = {
 #: so there are at most some ten thousand common words, whatever the size of the input.
 MATES, SHARE = 12, 1 / 2000
 #: Least cosine of a candidate, and least average cosine within a group.
-COSINE, LINKAGE = 0.3, 0.2
+COSINE, LINKAGE = 0.1, 0.05
 
 
 def name_words(raw: str | None) -> list[str] | None:
