@@ -110,12 +110,13 @@ def text_stats(text: str | None) -> tuple | None:
                 vowels += k * (x in VOWELS)
                 consonants += k * ("a" <= x <= "z" and x not in VOWELS)
     # A letter inside a run of other signs, a digit inside letters, or no vowel at all: no word of a language.
+    kinds = Counter(lowered)
     odd = sum(
-        1
-        for w in lowered
-        if (any(c.isdigit() for c in w) and any(c.isalpha() for c in w))
-        or "_" in w
-        or (w.isalpha() and w.isascii() and len(w) > 2 and not VOWELS & set(w))
+        k
+        for w, k in kinds.items()
+        if "_" in w
+        or (w.isalpha() and w.isascii() and len(w) > 2 and VOWELS.isdisjoint(w))
+        or (not w.isalpha() and not w.isdigit() and any(c.isalpha() for c in w))
     )
     share, columns, cell = _table(lines)
     lengths = np.array([len(line.strip()) for line in lines])
@@ -123,10 +124,10 @@ def text_stats(text: str | None) -> tuple | None:
     return (
         len(text),
         len(words),
-        float(np.mean([len(w) for w in words])) if words else 0.0,
+        sum(map(len, words)) / len(words) if words else 0.0,
         symbols / n,
         sum(line.rstrip().endswith(LINE_END) for line in lines) / len(lines),
-        sum(w in COMMON for w in lowered) / max(1, len(words)),
+        sum(k for w, k in kinds.items() if w in COMMON) / max(1, len(words)),
         len(lines),
         len(words) / len(lines),
         share,
@@ -140,7 +141,7 @@ def text_stats(text: str | None) -> tuple | None:
         odd / max(1, len(words)),
         vowels / (vowels + consonants) if vowels + consonants else -1.0,
         float(variety),
-        len(set(lowered)) / max(1, len(words)),
+        len(kinds) / max(1, len(words)),
     )
 
 
