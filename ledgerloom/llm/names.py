@@ -2,9 +2,9 @@
 
 Names are read into a distinctive part and common words, with legal forms, titles and initials left out and
 abbreviations and nicknames written out.  Which words are common is counted over all names.  Distinct readings
-become sparse vectors of character n-grams, weighted by their rarity; readings whose common words agree are
-joined on the n-grams of their prefix, which loses no pair of the similarity wanted; pairs are verified by edit
-distance and grouped by average linkage, merging mutual best pairs round by round.
+become sparse vectors of character n-grams, weighted by their rarity; the vectors of readings whose common words
+agree are multiplied in a distributed sparse join; pairs of enough cosine are verified by edit distance and grouped
+by average linkage, merging mutual best pairs round by round.
 """
 
 from __future__ import annotations
@@ -262,34 +262,33 @@ def common_words(names: DataFrame, words: str) -> dict[str, int]:
     return {r["w"]: r["held"] for r in found.select("w", "held").collect()}
 
 
-def ngram_pairs(spark: SparkSession, spool: Spool, cases: DataFrame, least: float) -> DataFrame:
+def ngram_pairs(spool: Spool, cases: DataFrame, least: float) -> DataFrame:
     """(a, b, cosine) of cases (id, part, block) of one block whose n-gram vectors have a cosine of ``least`` or more.
 
     Vectors hold character trigrams of the framed part, each weighing the logarithm of its rarity, at length 1.
-    In the order from rare to frequent, the tail of a vector that is shorter than ``least`` can't bring a pair
-    to ``least`` alone, so only the grams before it are joined: no pair of the wanted cosine is lost, and none
-    is capped.
+    They are multiplied gram by gram, sparse against sparse, and products are added up on the map side first.
+    Only pairs that ``same_spelling`` could accept are multiplied: so many edits change the length by no more,
+    move a gram by no more, and leave all but four grams for each of them.  No other pair is lost, none capped.
     """
     framed = F.concat(F.lit("^"), "part", F.lit("$"))
-    grams = cases.select("id", "block", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(framed) - 2), lambda i: F.substring(framed, i, F.lit(3))))).alias("g"))
+    at = F.sequence(F.lit(1), F.length(framed) - 2)
+    spots = F.transform(at, lambda i: F.struct(i.alias("at"), F.substring(framed, i, F.lit(3)).alias("g")))
+    grams = cases.select("id", "block", F.length("part").alias("long"), F.explode(spots).alias("s")).select("id", "block", "long", "s.at", "s.g")
     total = cases.count()
     counts = grams.groupBy("g").agg(F.count("*").alias("n"))
     weighed = grams.join(counts, "g").withColumn("w", F.log(1 + F.lit(float(total)) / F.col("n")))
-    tail = Window.partitionBy("id").orderBy(F.desc("n"), "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("id")
-    vectors = spool.save(
-        weighed.withColumns({"norm": F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole)), "upto": F.sum(F.col("w") * F.col("w")).over(tail)})
-        .select("id", "block", "g", (F.col("w") / F.col("norm")).alias("w"), (F.sqrt("upto") / F.col("norm") >= least).alias("head"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    vectors = weighed.select("id", F.xxhash64("block", "g").alias("bucket"), F.col("long").cast("short").alias("long"), F.col("at").cast("short").alias("at"), (F.col("w") / norm).cast("float").alias("w"))
+    vectors = spool.save(vectors)
+    left = vectors.select(F.col("id").alias("a"), "bucket", F.col("long").alias("la"), F.col("at").alias("pa"), F.col("w").alias("wa"))
+    right = vectors.select(F.col("id").alias("b"), "bucket", F.col("long").alias("lb"), F.col("at").alias("pb"), F.col("w").alias("wb"))
+    longer = F.greatest("la", "lb")
+    edits = F.when(F.least("la", "lb") <= 3, 0).when(longer <= 7, 1).otherwise(2)
+    met = left.join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= edits) & (F.abs(F.col("pa") - F.col("pb")) <= edits))
+    products = met.groupBy("a", "b").agg(
+        F.sum(F.col("wa") * F.col("wb")).alias("cosine"), F.count("*").alias("shared"), F.max(F.greatest("la", "lb") - 4 * edits).alias("needed")
     )
-    heads = vectors.filter("head").select("id", F.xxhash64("block", "g").alias("bucket"))
-    candidates = heads.join(heads.select(F.col("id").alias("b"), "bucket"), "bucket").filter("id < b").select(F.col("id").alias("a"), "b").distinct()
-    packed = vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v"))
-    left = packed.select(F.col("id").alias("a"), F.col("v").alias("va"))
-    right = packed.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    shared = F.aggregate(
-        F.map_keys("va"), F.lit(0.0), lambda acc, g: acc + F.coalesce(F.element_at("va", g) * F.try_element_at("vb", g), F.lit(0.0))
-    )
-    return candidates.join(left, "a").join(right, "b").select("a", "b", shared.alias("cosine")).filter(F.col("cosine") >= least)
+    return products.filter((F.col("cosine") >= least) & (F.col("shared") >= F.col("needed"))).select("a", "b", "cosine")
 
 
 def average_linkage(spark: SparkSession, edges: DataFrame, floor: float) -> DataFrame:
@@ -359,7 +358,7 @@ def same_name(spark: SparkSession, records: DataFrame) -> DataFrame:
     readings = names.mapInArrow(read, "name string, part string, block string").withColumn("id", F.xxhash64("part", "block"))
     readings = spool.save(readings)
     cases = spool.save(readings.select("id", "part", "block").dropDuplicates(["id"]))
-    similar = ngram_pairs(spark, spool, cases, COSINE)
+    similar = ngram_pairs(spool, cases, COSINE)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
