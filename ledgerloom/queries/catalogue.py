@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.queries import skew
+from ledgerloom.queries import linkage, names, places, relational, scope, skew, survey
 
-_MODULES = [skew]
+_MODULES = [scope, relational, names, linkage, survey, places, skew]
 
 
 def queries() -> dict:
