@@ -107,43 +107,47 @@ def matches(tokens: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return where, order[place]
 
 
+def _reach(item: list[int], doc: list[int], i0: int, j0: int, step: int) -> list[int]:
+    """For each number of edits the most item words covered from (i0, j0) on, forward or backward.
+
+    The cell that reaches furthest is kept on each diagonal.  It ends where edits run three ahead of ONE_IN, since
+    a passage that is good as a whole has a good part on the other side then.
+    """
+    n, m = (len(item) - i0, len(doc) - j0) if step > 0 else (i0 + 1, j0 + 1)
+    front, out = {0: 0}, []
+    while front:
+        for d, i in front.items():
+            j = i + d
+            while i < n and j < m and item[i0 + step * i] == doc[j0 + step * j] and item[i0 + step * i]:
+                i, j = i + 1, j + 1
+            front[d] = i
+        out.append(max(front.values()))
+        if len(out) * ONE_IN > len(item) or (len(out) - 4) * ONE_IN > out[-1]:
+            break
+        following: dict[int, int] = {}
+        for d, i in front.items():
+            for e, x in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):
+                if x <= n and 0 <= x + e <= m and following.get(e, -1) < x:
+                    following[e] = x
+        front = following
+    return out
+
+
 def holds(item: list[int], doc: list[int], seeds: list[tuple[int, int]]) -> bool:
     """Whether the document has PASSAGE successive words of the item, one in ONE_IN altered, missing or added.
 
-    From each seed the alignment that reaches furthest in the item is kept for each number of edits and each
-    diagonal.  Words altered at either end of the passage count as edits too.
+    A passage reaches from a seed forward and backward, each with some of its edits; words altered at its ends
+    count as edits too.
     """
-    n, m = len(item), len(doc)
-    spare = PASSAGE // ONE_IN
     for i0, j0 in seeds:
-        lead = min(spare, i0, j0)
-        reach, edits = {0: i0}, 0
-        while True:
-            for d, i in reach.items():
-                j = j0 + (i - i0) + d
-                while i < n and j < m and item[i] == doc[j] and item[i]:
-                    i, j = i + 1, j + 1
-                reach[d] = i
-                tail = min(spare, n - i, m - j)
-                for a in range(lead + 1):
-                    for b in range(tail + 1):
-                        span = i - i0 + a + b
-                        if span >= PASSAGE and (edits + a + b) * ONE_IN <= span:
-                            return True
-            edits += 1
-            if edits * ONE_IN > n:
-                break
-            following: dict[int, int] = {}
-            for d, i in reach.items():
-                j = j0 + (i - i0) + d
-                for e, x, y in ((d, i + 1, j + 1), (d - 1, i + 1, j), (d + 1, i, j + 1)):
-                    if x <= n and y <= m and following.get(e, -1) < x:
-                        following[e] = x
-            # What has fallen behind one edit in each ONE_IN words by more than an edge allows can't recover.
-            best = max((x - i0 for x in following.values()), default=0)
-            reach = {d: x for d, x in following.items() if x - i0 >= best - 2 * PASSAGE}
-            if not reach or best + PASSAGE < (edits - spare) * ONE_IN:
-                break
+        onward = _reach(item, doc, i0, j0, 1)
+        if onward[0] >= PASSAGE:
+            return True
+        back = _reach(item, doc, i0 - 1, j0 - 1, -1) if i0 and j0 else [0]
+        for e, x in enumerate(onward):
+            for f, y in enumerate(back):
+                if x + y >= PASSAGE and (e + f) * ONE_IN <= x + y:
+                    return True
     return False
 
 

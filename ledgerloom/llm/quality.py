@@ -180,6 +180,7 @@ def kind() -> Column:
         | ((c("char_variety") < 2.0) & (c("n_chars") >= 20))
         | ((c("word_variety") < 0.1) & (c("n_words") >= 12))
         | ((c("word_variety") * c("n_words") < 2.5) & (c("n_words") >= 6))
+        | ((c("mean_word_length") <= 2.1) & (c("n_words") >= 6) & (c("vowel_share") >= 0) & (c("n_lines") < 3))
         | ((c("mean_word_length") > 25) & (c("vowel_share") >= 0))
     )
     junk = broken & ((c("common_share") < 0.20) | (c("symbol_share") >= 0.15))
