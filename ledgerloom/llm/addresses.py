@@ -301,6 +301,22 @@ def read_places(df: DataFrame, key: str, street: str, city: str, code: str) -> D
     return df.select(F.col(key).cast("string"), street, city, code).mapInArrow(parse, f"key string, {PLACE}")
 
 
+#: A ZIP's town is the one that at least this many of its addresses give, and this share of those that give any.
+TOWN_VOTES, TOWN_SHARE = 3, 0.6
+
+
+def with_towns(places: DataFrame) -> DataFrame:
+    """The places, a town that is not given filled in by the town that most addresses of the ZIP give.
+
+    ZIP codes are five digits, so the table of their towns has at most a hundred thousand rows.
+    """
+    given = places.filter("zip <> '' and city <> ''").groupBy("zip", "city").agg(F.count("*").alias("n"))
+    most = given.groupBy("zip").agg(F.max(F.struct("n", "city")).alias("top"), F.sum("n").alias("all"))
+    towns = most.filter((F.col("top.n") >= TOWN_VOTES) & (F.col("top.n") >= TOWN_SHARE * F.col("all"))).select("zip", F.col("top.city").alias("usual"))
+    filled = F.when((F.col("city") == "") & F.col("usual").isNotNull(), F.col("usual")).otherwise(F.col("city"))
+    return places.join(towns, "zip", "left").withColumn("city", filled).drop("usual").select(*places.columns)
+
+
 def _candidates(cases: DataFrame) -> DataFrame:
     """(a, b): numbers of distinct cases that share a band, and a town or ZIP, or lack both on one side."""
 
@@ -363,11 +379,11 @@ def same_place(spark: SparkSession, records: DataFrame) -> DataFrame:
     town does.  Nulls, placeholders, boxes without a number and addresses without a house number make no case.
     Copies of an address are compared once, and a key with several addresses is paired by any of them.
 
-    Verified candidates are closed over groups by large-star small-star, and each pair of a group's cases is
+    A missing town is that of the ZIP, as most addresses of the ZIP give it.  Verified candidates are closed over groups by large-star small-star, and each pair of a group's cases is
     verified in turn, so that a record without a side joins neither of two sides to the other.
     """
     spool = Spool(spark, "places")
-    read = read_places(records, "key", "street", "city", "code")
+    read = with_towns(spool.save(read_places(records, "key", "street", "city", "code")))
     read = spool.save(read.select("key", F.xxhash64(*_PARTS).alias("id"), *_PARTS))
     cases = spool.save(read.drop("key").dropDuplicates(["id"]))
     links = spool.save(_verified(_candidates(cases), cases))
