@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import fellegi, graph, votes
+from ledgerloom.functions.similarity import edit_ratio, token_jaccard
+from ledgerloom.operators import fellegi, graph, models, people, votes
 from ledgerloom.sources.tables import table
 
 FLOOR = 5.0
@@ -154,9 +156,29 @@ def gazetteer_harvest(spark: SparkSession, folder: str) -> DataFrame:
     return votes.harvest_given_names(table(spark, folder, "corpus_debtors_eq").select("name_clean").filter("name_clean is not null").distinct())
 
 
+def person_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored pairs by what the gate for people says."""
+    named = _named_pairs(spark, folder).filter("a is not null and b is not null").select("u", "v", "a", "b")
+    given = gazetteer_harvest(spark, folder).filter("role = 'given'")
+    parsed = people.parse_people(_corpus_names(spark, folder).select("name_clean").filter("name_clean is not null").distinct(), "name_clean", given)
+    side = lambda s, c: parsed.select(F.col("name_clean").alias(c), *[F.col(p).alias(f"{p}_{s}") for p in ("surname", "given", "initial")])
+    return people.person_gate(named.join(side("l", "a"), "a").join(side("r", "b"), "b")).groupBy("outcome").agg(F.count("*").alias("pairs"))
+
+
+def linear_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs above the floor scored by a linear model fitted on a bounded sample of equal and unequal names."""
+    named = _named_pairs(spark, folder).filter("a is not null and b is not null")
+    features = {"edit": edit_ratio(F.col("a"), F.col("b")), "words": token_jaccard(F.col("a"), F.col("b")), "zip": (F.col("zu") == F.col("zv")).cast("int")}
+    sample = named.orderBy(F.md5(F.concat("u", "v"))).limit(400).select((F.col("w") >= FLOOR).cast("int").alias("y"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in features.items()])
+    data = np.array([tuple(r) for r in sample.collect()], float).reshape(-1, 4)
+    beta = models.ridge_logistic(data[:, 1:], data[:, 0]) if len(data) else np.zeros(4)
+    return named.filter(F.col("w") >= FLOOR).select("u", "v", F.round(models.linear_bits(features, beta), 6).alias("bits"))
+
+
 QUERIES = {f.__name__: f for f in (
     party_records, record_redundancy, gamma_patterns, fs_weights, fs_weights_tf, fs_prior, fs_em_parameters, cluster_map, cluster_summary, best_links,
     merge_levels, coherent_clusters, churn_base_vs_full, name_floor_grid, stage_rules, consensus_votes, combo_vetoes, threshold_curve, gazetteer_harvest,
+    person_gate, linear_scores,
 )}
 
 _RECORDS = """r AS (SELECT name_clean, suffix, address1, city, state, zipcode, count(*) AS n_rows, min(unique_id) AS example_party_id,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import SEED, bucket, rank_digest
 from ledgerloom.operators import cases as case_ops
-from ledgerloom.operators import evaluate, survey
+from ledgerloom.operators import evaluate, models, survey
 from ledgerloom.operators.scope import PLACEHOLDER_ADDRESSES
 from ledgerloom.sources.tables import table
 
@@ -158,9 +158,33 @@ def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in sorted(found.items())], "metric string, mean double, low double, high double")
 
 
+def group_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """Cases of each stratum by the fold of their group."""
+    c = _cases(spark, folder)
+    return c.groupBy("stratum", models.fold(F.coalesce("group_id", "case_id"), 5).alias("fold")).agg(F.count("*").alias("n"))
+
+
+def isotonic_knots(spark: SparkSession, folder: str) -> DataFrame:
+    """Knots of a calibration that never falls."""
+    return spark.createDataFrame(models.isotonic(_weighted(spark, folder), "score", "truth", "weight"), "score double, calibrated double")
+
+
+def zero_fp_point(spark: SparkSession, folder: str) -> DataFrame:
+    """The lowest score above every untrue case among the accepted, and the cases there."""
+    return models.zero_false_positive(_cases(spark, folder).filter("stratum like '%:accepted'"), "score", "truth")
+
+
+def unresolved_share(spark: SparkSession, folder: str) -> DataFrame:
+    """The weighted share of cases whose two passes of labels differ, by stratum."""
+    a, b = _passes(spark, folder)
+    both = a.withColumnRenamed("label", "l1").join(b.withColumnRenamed("label", "l2"), "case_id").join(_weighted(spark, folder).select("case_id", "stratum", "weight"), "case_id")
+    return both.groupBy("stratum").agg(F.round(F.sum(F.when(F.col("l1") != F.col("l2"), F.col("weight")).otherwise(0.0)) / F.sum("weight"), 9).alias("share"))
+
+
 QUERIES = {f.__name__: f for f in (
     case_extract, reconcile_cases, domain_check, stratum_sizes, hash_draw, grouped_split, split_leaks, blind_queue, agreement_report, agreement_kappa, wilson_ci,
     weighted_confusion, ht_weights, stratified_precision, threshold_choice, average_precision, ece_bins, kish_n, bootstrap_intervals,
+    group_folds, isotonic_knots, zero_fp_point, unresolved_share,
 )}
 
 _bucket = lambda seed, n: f"CAST('0x' || substr(md5('{seed}:' || case_id), 1, 8) AS BIGINT) % {n}"
@@ -233,5 +257,10 @@ ORACLE = {
         WITH {_WEIGHTED}, b AS (SELECT CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, sum(weight) AS w, sum(score * weight) / sum(weight) AS mean_score, sum(CASE WHEN truth THEN weight ELSE 0 END) / sum(weight) AS share FROM w GROUP BY 1),
         g AS (SELECT *, abs(mean_score - share) AS gap FROM b)
         SELECT bin, round(w, 9) AS w, round(mean_score, 9) AS mean_score, round(share, 9) AS share, round(gap, 9) AS gap, round(sum(gap * w) OVER () / sum(w) OVER (), 9) AS ece FROM g""",
+    "group_folds": f"WITH {_CASES} SELECT stratum, CAST('0x' || substr(sha256('fold:{SEED}:' || coalesce(group_id, case_id)), 1, 8) AS BIGINT) % 5 AS fold, count(*) AS n FROM c GROUP BY 1, 2",
+    "zero_fp_point": f"WITH {_CASES}, a AS (SELECT * FROM c WHERE stratum LIKE '%:accepted'), w AS (SELECT max(score) AS worst FROM a WHERE NOT truth) SELECT min(score) AS threshold, count(*) AS merged FROM a, w WHERE worst IS NULL OR score > worst",
+    "unresolved_share": f"""
+        WITH {_WEIGHTED}, x AS (SELECT *, truth <> ({_bucket("flip", 100)} < 12) AS t2, {_bucket("second", 100)} < 90 AS seen FROM w)
+        SELECT stratum, round(sum(CASE WHEN truth <> t2 THEN weight ELSE 0 END) / sum(weight), 9) AS share FROM x WHERE seen GROUP BY 1""",
     "kish_n": f"WITH {_WEIGHTED} SELECT count(*) AS n, round(sum(weight), 6) AS w, round(sum(weight) * sum(weight) / sum(weight * weight), 6) AS n_eff FROM w",
 }

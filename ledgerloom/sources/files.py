@@ -56,8 +56,10 @@ class PagedPartition(InputPartition):
 class PagedSource(DataSource):
     """A table behind a paged interface, one task for each page.
 
-    Options: ``pages`` (how many), ``size`` (rows of a page) and ``fetch``, the dotted path of a function
-    (offset, size) -> list of tuples.  A page that comes short ends the table; pages beyond it are empty.
+    Options: ``pages`` (how many), ``size`` (rows of a page), ``fetch``, the dotted path of a function
+    (offset, size, where) -> list of tuples, and ``push``, the columns on which the source can filter.  Equality,
+    comparison and null filters on these are handed over as (column, sign, value) and not applied again.  A
+    page that comes short ends the table; pages beyond it are empty.
     """
 
     @classmethod
@@ -79,6 +81,18 @@ class PagedReader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.count, self.size, self.path = int(options["pages"]), int(options["size"]), options["fetch"]
+        self.push = set(options.get("push", "").split())
+        self.where: list[tuple[str, str, object]] = []
+
+    def pushFilters(self, filters: list) -> Iterator:  # noqa: N802
+        """Keeps what the source can do, gives back the rest."""
+        signs = {"EqualTo": "=", "GreaterThan": ">", "GreaterThanOrEqual": ">=", "LessThan": "<", "LessThanOrEqual": "<=", "IsNull": "is null", "IsNotNull": "is not null"}
+        for f in filters:
+            sign = signs.get(type(f).__name__)
+            if sign and len(f.attribute) == 1 and f.attribute[0] in self.push:
+                self.where.append((f.attribute[0], sign, getattr(f, "value", None)))
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         """One partition for each page."""
@@ -90,7 +104,7 @@ class PagedReader(DataSourceReader):
 
         module, _, function = self.path.rpartition(".")
         fetch: Callable = getattr(importlib.import_module(module), function)
-        yield from fetch(partition.offset, self.size)
+        yield from fetch(partition.offset, self.size, self.where)
 
 
 def land_pages(fetch: Callable[[int, int], str], folder: Path, size: int) -> int:

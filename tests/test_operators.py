@@ -162,3 +162,38 @@ def test_screening(spark):
     got = {r["id"]: r for r in screening.score_rows(model, data, "id", "t").collect()}
     assert got["c1"]["score"] > 0.9 and got["c0"]["score"] < 0.1
     assert got["n"]["validation_error"] == "empty" and got["long"]["validation_error"] == "too long" and got["n"]["score"] is None
+
+
+def test_linear_models(spark):
+    import numpy as np
+
+    from ledgerloom.operators import models
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 2))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 0] - x[:, 1])))).astype(float)
+    beta = models.ridge_logistic(x, y, 0.1)
+    assert np.allclose(beta, [0.5, 2, -1], atol=0.25)
+    assert models.bootstrap_errors(x[:300], y[:300], 20, 1).shape == (3,)
+    df = spark.createDataFrame([(0.1, False, 1.0), (0.2, True, 1.0), (0.3, False, 1.0), (0.8, True, 2.0), (0.9, True, 1.0)], "s double, t boolean, w double")
+    knots = models.isotonic(df, "s", "t", "w")
+    assert [round(v, 3) for _, v in knots] == [0.0, 0.5, 1.0]
+    assert tuple(models.zero_false_positive(df, "s", "t").first()) == (0.8, 2)
+    slope, _ = models.platt(df, "s", "t", "w")
+    assert slope > 0
+    bits = df.select(models.linear_bits({"s": F.col("s"), "n": F.lit(None)}, np.array([0.0, np.log(2), 5.0]))).first()[0]
+    assert bits == pytest.approx(0.1)
+
+
+def test_people(spark):
+    from ledgerloom.operators.people import parse_people, person_gate
+
+    names = spark.createDataFrame([("SMITH JOHN A",), ("JOHN SMITH",), ("SMITH PAVING",), ("SMITH JOHN ANTHONY",), ("ZED QUX",), (None,)], "n string")
+    given = spark.createDataFrame([("JOHN",), ("MARY",)], "word string")
+    got = {r["n"]: (r["surname"], r["given"], r["initial"]) for r in parse_people(names, "n", given).collect()}
+    assert got["SMITH JOHN A"] == ("SMITH", "JOHN", "A") and got["JOHN SMITH"] == ("SMITH", "JOHN", None)
+    assert got["SMITH PAVING"] == got["SMITH JOHN ANTHONY"] == got["ZED QUX"] == got[None] == (None, None, None)
+    parts = ["surname", "given", "initial"]
+    rows = [("S", "J", "A", "S", "J", "B"), ("SMITH", "JOHN", None, "SMITHE", "JOHN", "A"), ("SMITH", "JOHN", None, "SMITH", "MARY", None), ("SMITH", "JOHN", None, "ZUBER", "JOHN", None), (None,) * 6, ("S", "J", None, None, None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{p}_{s} string" for s in "lr" for p in parts))
+    assert sorted(r["outcome"] for r in person_gate(df).collect()) == sorted(["initials_differ", "same", "given_differs", "surname_differs", "not_people", "mixed"])

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import gzip
 import os
+import sys
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
 
 from ledgerloom.queries import catalogue
-from ledgerloom.sources import files
+from ledgerloom.sources import documents, files
 from ledgerloom.streaming import events as ev
 
 SLOW = {"cluster_map", "cluster_summary", "events_tumbling", "events_sliding", "fs_weights", "fs_weights_tf"}
@@ -66,17 +68,38 @@ def test_pages_land_once_and_resume(tmp_path):
     assert files.land_pages(fetch, tmp_path, 10) == 3 and calls == [0, 10, 20]
 
 
-def numbers(offset: int, size: int) -> list[tuple]:
-    """A paged source for the test below."""
-    return [(i, str(i)) for i in range(offset, min(offset + size, 25))]
+def numbers(offset: int, size: int, where: list) -> list[tuple]:
+    """A paged source for the test below: a page of the numbers below 25 that the filters admit."""
+    keep = {"=": lambda n, v: n == v, ">=": lambda n, v: n >= v, "is not null": lambda n, v: True}
+    admitted = [n for n in range(25) if all(keep[s](n, v) for _, s, v in where)]
+    return [(n, str(n)) for n in admitted[offset : offset + size]]
 
 
-def test_paged_source(spark):
-    spark.dataSource.register(files.PagedSource)
-    options = {"schema": "n int, t string", "pages": "4", "size": "10", "fetch": "builtins.range"}
-    assert files.PagedReader(options).partitions()[3].offset == 30
-    reader = files.PagedReader(options | {"fetch": f"{numbers.__module__}.numbers"})
+def test_paged_source(spark, monkeypatch):
+    import types
+
+    module = types.ModuleType("paged_numbers")
+    module.numbers = numbers
+    monkeypatch.setitem(sys.modules, "paged_numbers", module)
+    options = {"schema": "n int, t string", "pages": "4", "size": "10", "fetch": "paged_numbers.numbers", "push": "n"}
+    reader = files.PagedReader(options)
     assert [r[0] for p in reader.partitions() for r in reader.read(p)] == list(range(25))
+    pushed = [GreaterThanOrEqual(("n",), 12), EqualTo(("t",), "13")]
+    assert list(reader.pushFilters(pushed)) == pushed[1:] and reader.where == [("n", ">=", 12)]
+    assert [r[0] for p in reader.partitions() for r in reader.read(p)] == list(range(12, 25))
+
+
+def test_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"CO": [[1, 2], [3, 4]]}')
+    assert documents.read_raster(spark, tmp_path / "a.json").filter("iy = 1 and ix = 0").first()["value"] == 3.0
+    (tmp_path / "b.json").write_text('{"k": 1, "k": 2}')
+    with pytest.raises(ValueError):
+        documents.read_config(tmp_path / "b.json")
+    documents.write_sums(tmp_path)
+    assert documents.verify_sums(tmp_path) == []
+    (tmp_path / "a.json").write_text("{}")
+    (tmp_path / "new").write_text("x")
+    assert documents.verify_sums(tmp_path) == ["a.json", "new"]
 
 
 def test_export_and_manifest(spark, tmp_path):
