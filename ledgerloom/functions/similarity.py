@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,16 +46,72 @@ def jaro_winkler(a: str, b: str, always: bool = False) -> float:
     return j + 0.1 * same * (1 - j) if always or j > 0.7 else j
 
 
+#: Longest strings that are compared as rows of a matrix, and rows of a matrix.
+WIDE, TALL = 64, 4096
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), max(1, int(lengths.max(initial=0)))), np.uint32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return out, lengths
+
+
+def _jaro_rows(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(jaro, length of the common prefix up to four) of many pairs at once, one position of all left strings at a time."""
+    a, la = _codes(left)
+    b, lb = _codes(right)
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    at, rows = np.arange(b.shape[1]), np.arange(len(left))
+    free = at < lb[:, None]
+    hit = np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        can = free & (b == a[:, i : i + 1]) & (np.abs(at - i) <= reach[:, None]) & (i < la)[:, None]
+        first = can.argmax(axis=1)
+        has = can[rows, first]
+        free[rows[has], first[has]] = False
+        hit[has, i] = True
+    taken = ~free & (at < lb[:, None])
+    m = hit.sum(axis=1)
+    width = min(a.shape[1], b.shape[1])
+    x = np.take_along_axis(a, np.argsort(~hit, axis=1, kind="stable"), axis=1)[:, :width]
+    y = np.take_along_axis(b, np.argsort(~taken, axis=1, kind="stable"), axis=1)[:, :width]
+    swaps = ((x != y) & (np.arange(width) < m[:, None])).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro_of = np.where(m > 0, (m / la + m / lb + (m - swaps) / m) / 3, 0.0)
+    head = min(4, width)
+    same = (a[:, :head] == b[:, :head]) & (np.arange(head) < np.minimum(la, lb)[:, None])
+    return jaro_of, np.cumprod(same, axis=1).sum(axis=1) if head else np.zeros(len(left))
+
+
+def jaro_winkler_batch(left: list[str | None], right: list[str | None], always: bool = False) -> list[float | None]:
+    """``jaro_winkler`` of many pairs; null where either is null."""
+    out: list[float | None] = [None] * len(left)
+    wide = [k for k, (x, y) in enumerate(zip(left, right)) if x and y and len(x) <= WIDE and len(y) <= WIDE]
+    rest = {*range(len(left))} - {*wide}
+    for k in rest:
+        if left[k] is not None and right[k] is not None:
+            out[k] = jaro_winkler(left[k], right[k], always)
+    wide.sort(key=lambda k: len(left[k]))
+    for start in range(0, len(wide), TALL):
+        part = wide[start : start + TALL]
+        j, same = _jaro_rows([left[k] for k in part], [right[k] for k in part])
+        w = j + 0.1 * same * (1 - j) if always else np.where(j > 0.7, j + 0.1 * same * (1 - j), j)
+        for k, v in zip(part, w.tolist()):
+            out[k] = v
+    return out
+
+
 @F.arrow_udf(T.DoubleType())
 def _jw_sql(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in pairs:
-        yield pa.array([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+        yield pa.array(jaro_winkler_batch(a.to_pylist(), b.to_pylist()), pa.float64())
 
 
 @F.arrow_udf(T.DoubleType())
 def _jw_always(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in pairs:
-        yield pa.array([None if x is None or y is None else jaro_winkler(x, y, True) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+        yield pa.array(jaro_winkler_batch(a.to_pylist(), b.to_pylist(), True), pa.float64())
 
 
 def jw_sql(a: Column, b: Column) -> Column:

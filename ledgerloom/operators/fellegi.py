@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import record_id
 from ledgerloom.functions.similarity import jw_bound, jw_sql
-from ledgerloom.plans.joins import udf_on_distinct
 
 PARTS = ("name_clean", "suffix", "address1", "city", "state", "zipcode")
 #: Levels of each comparison from the highest; 0 is "else", -1 is a null on either side.
@@ -56,11 +55,15 @@ def _ladder(a: Column, b: Column, score: Column | None, levels: tuple[float, ...
 
 
 def gamma_vectors(pairs: DataFrame) -> DataFrame:
-    """The pairs with the level of each comparison; Python sees distinct strings whose bound reaches the lowest bar only."""
+    """The pairs with the level of each comparison; strings whose bound misses the lowest bar reach Python as nulls.
+
+    Records are distinct, and so are nearly all their pairs of names: they are compared where they are, without
+    a join back.
+    """
     for part, name in (("name_clean", "name"), ("address1", "address")):
         a, b = F.col(f"{part}_l"), F.col(f"{part}_r")
         near = a.isNotNull() & b.isNotNull() & (a != b) & (jw_bound(a, b) >= 0.7)
-        pairs = udf_on_distinct(pairs, [f"{part}_l", f"{part}_r"], jw_sql, f"jw_{name}", near)
+        pairs = pairs.withColumn(f"jw_{name}", jw_sql(F.when(near, a), F.when(near, b)))
     side = lambda c: (F.col(f"{c}_l"), F.col(f"{c}_r"))
     jw = lambda n: F.coalesce(F.col(f"jw_{n}"), F.lit(0.0))
     z = [F.substring(f"zipcode_{s}", 1, 5) for s in ("l", "r")]

@@ -14,25 +14,42 @@ from ledgerloom.plans.spool import Spool
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, cluster) for every id on an edge (u, v): the smallest id reachable.
 
-    Each round every id takes the smallest label among its neighbours' and its own, then jumps to its label's
-    label; labels only fall, so it ends.  Minima are taken on the map side first, so a hub costs no task more
-    than its share.
+    Rounds of contraction: each node points to the smallest of its neighbours and itself, pointers jump until
+    they reach a local minimum, and edges between the minima make the graph of the next round, with half the
+    nodes or fewer.  Minima are taken on the map side first, so a hub costs no task more than its share.
     """
-    spool = Spool(spark, "labels")
-    around = edges.select("u", "v").union(edges.select("v", "u")).filter("u is not null and v is not null and u <> v").distinct()
-    around = spool.save(around.toDF("u", "v"))
-    labels = spool.save(around.select(F.col("u").alias("id")).distinct().withColumn("cluster", F.col("id")))
-    while True:
-        seen = around.join(labels.select(F.col("id").alias("v"), "cluster"), "v").groupBy("u").agg(F.min("cluster").alias("near"))
-        lower = labels.join(seen, labels["id"] == seen["u"]).select("id", "cluster", F.least("cluster", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("cluster").alias("lower"))
-        after = spool.save(lower.join(jump, "low").select("id", F.least("low", "lower").alias("cluster"), (F.least("low", "lower") < F.col("cluster")).alias("moved")))
-        done = after.filter("moved").isEmpty()
-        spool.drop(labels)
-        path, labels = after.spool_path, after.select("id", "cluster")
-        labels.spool_path = path
-        if done:
-            return labels
+    spool = Spool(spark, "contract")
+
+    def undirected(df: DataFrame) -> DataFrame:
+        return df.filter("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    live, maps = spool.save(undirected(edges)), []
+    while not live.isEmpty():
+        ends = live.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("to"))
+        starts = live.select(F.col("u").alias("id"), F.col("u").alias("to")).distinct()
+        point = spool.save(ends.unionByName(starts).groupBy("id").agg(F.min("to").alias("to")))
+        while True:
+            onward = point.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            jumped = spool.save(point.join(onward, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            settled = jumped.filter("moved").isEmpty()
+            spool.drop(point)
+            path, point = jumped.spool_path, jumped.select("id", "to")
+            point.spool_path = path
+            if settled:
+                break
+        maps.append(point)
+        u = point.select(F.col("id").alias("u"), F.col("to").alias("x"))
+        v = point.select(F.col("id").alias("v"), F.col("to").alias("y"))
+        contracted = spool.save(undirected(live.join(u, "u").join(v, "v").select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        spool.drop(live)
+        live = contracted
+    if not maps:
+        return live.select(F.col("u").alias("id"), F.col("v").alias("cluster"))
+    out = maps[-1].select("id", F.col("to").alias("cluster"))
+    for point in reversed(maps[:-1]):
+        top = out.select(F.col("id").alias("to"), "cluster")
+        out = point.join(top, "to", "left").select("id", F.coalesce("cluster", "to").alias("cluster"))
+    return out
 
 
 def clusters_at(spark: SparkSession, pairs: DataFrame, floor: float) -> DataFrame:

@@ -41,7 +41,10 @@ def anti_pairs(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFr
 def udf_on_distinct(df: DataFrame, columns: list[str], function: Callable[..., Column], name: str, where: Column | None = None) -> DataFrame:
     """``df`` with ``function`` of the columns, run once for each distinct combination that ``where`` admits."""
     wanted = df.filter(where) if where is not None else df
-    values = wanted.select(*columns).distinct().withColumn(name, function(*[F.col(c) for c in columns]))
+    # Strings are small and their comparison is not: spread them by number, which AQE leaves as it is.
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    values = wanted.select(*columns).distinct().repartition(tasks).withColumn(name, function(*[F.col(c) for c in columns]))
     values = values.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)], name)
     on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(columns)])
     return df.join(values, on, "left").drop(*[f"_k{i}" for i in range(len(columns))])

@@ -123,10 +123,15 @@ def jaro_winkler_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_min_similarity(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbouring names with the worst of their words' best partners, and Jaro-Winkler with the prefix always counted."""
-    p = _same_zip_names(spark, folder)
-    scored = udf_on_distinct(p, ["a", "b"], token_min, "tokmin")
-    return udf_on_distinct(scored, ["a", "b"], jw_always, "jw_always").select("a", "b", F.round("tokmin", 9).alias("tokmin"), F.round("jw_always", 9).alias("jw_always"))
+    """Neighbouring names with the worst of their words' best partners."""
+    scored = udf_on_distinct(_same_zip_names(spark, folder), ["a", "b"], token_min, "tokmin")
+    return scored.select("a", "b", F.round("tokmin", 9).alias("tokmin"))
+
+
+def jaro_winkler_always(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbouring names with the prefix counted whatever jaro is, beside the other definition."""
+    scored = udf_on_distinct(_same_zip_names(spark, folder), ["a", "b"], jw_always, "always")
+    return udf_on_distinct(scored, ["a", "b"], jw_sql, "jw").select("a", "b", F.round("always", 9).alias("always"), F.round("jw", 9).alias("jw"))
 
 
 def similarity_bands(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +143,7 @@ def similarity_bands(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     normalize_names, suffix_counts, content_ids, holdout_flags, address_keys, person_keys, normal_texts, rule_flags, rule_words, case_routes,
-    masked_names, edit_distance_pairs, jaro_winkler_pairs, token_min_similarity, similarity_bands,
+    masked_names, edit_distance_pairs, jaro_winkler_pairs, token_min_similarity, jaro_winkler_always, similarity_bands,
 )}
 
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -209,5 +214,9 @@ ORACLE = {
         SELECT a, b, CAST(edits AS INTEGER) AS edits, round(1 - edits / longest, 6) AS ratio, round(len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))), 6) AS jaccard,
                1 - edits / longest >= 0.72 OR (heads AND shortest >= 8 AND shortest / longest >= 0.4) AS coheres FROM d""",
     "jaro_winkler_pairs": f"WITH {_ZIPNAMES} SELECT a, b, round(jaro_winkler_similarity(a, b), 9) AS jw FROM p WHERE jaro_winkler_similarity(a, b) >= 0.7",
+    "token_min_similarity": f"""
+        WITH {_ZIPNAMES}, t AS (SELECT a, b, list_filter(string_split(a, ' '), lambda x: x <> '') AS u, list_filter(string_split(b, ' '), lambda x: x <> '') AS v FROM p),
+        s AS (SELECT a, b, CASE WHEN len(u) <= len(v) THEN u ELSE v END AS small, CASE WHEN len(u) <= len(v) THEN v ELSE u END AS large FROM t)
+        SELECT a, b, round(list_min(list_transform(small, lambda x: list_max(list_transform(large, lambda y: jaro_winkler_similarity(x, y))))), 9) AS tokmin FROM s""",
     "similarity_bands": f"WITH {_ZIPNAMES}, s AS (SELECT round(jaro_winkler_similarity(a, b), 9) AS jw FROM p) SELECT CASE WHEN jw >= 0.95 THEN '95' WHEN jw >= 0.9 THEN '90' WHEN jw >= 0.8 THEN '80' ELSE '70' END AS band, count(*) AS pairs FROM s WHERE jw >= 0.7 GROUP BY 1",
 }
