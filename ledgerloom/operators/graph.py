@@ -74,41 +74,61 @@ def best_links(pairs: DataFrame) -> DataFrame:
     return sides.withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("u", "v", "w").distinct()
 
 
-def _kruskal(frame: pd.DataFrame, allowed: Callable[[str, str], bool] | None) -> tuple[dict[str, str], list[tuple[str, str, float]]]:
-    """Clusters and merges of one component, edges taken from the heaviest on; ``allowed`` must hold for all cross pairs."""
+def merge_levels(spark: SparkSession, pairs: DataFrame, floor: float) -> DataFrame:
+    """(u, v, level): the merges of single linkage at ``floor`` or more, as a maximum spanning forest.
+
+    The level at which any two ids first share a cluster is the least level on the path between them, so the
+    n - 1 merges hold all pairs' levels without writing the pairs.  Each round every component takes its
+    heaviest outgoing pair, ties by the ids, and the components that this joins become one.
+    """
+    spool = Spool(spark, "forest")
+    strong = pairs.filter(~F.isnan("w") & (F.col("w") >= floor) & (F.col("u") != F.col("v")))
+    edge = strong.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w"))
+    live = spool.save(edge.select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct((-F.col("w")).alias("m"), "u", "v").alias("e")))
+    forest = edge.select("u", "v", F.col("w").alias("level")).limit(0)
+    while not live.isEmpty():
+        ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o"), "e"), F.struct(F.col("b").alias("c"), F.col("a").alias("o"), "e"))).alias("x")).select("x.*")
+        best = spool.save(ends.groupBy("c").agg(F.min(F.struct("e", "o")).alias("x")).select("c", "x.e", "x.o"))
+        forest = forest.unionByName(best.select("e").distinct().select("e.u", "e.v", (-F.col("e.m")).alias("level")))
+        back = best.select(F.col("c").alias("o"), F.col("o").alias("oo"))
+        # Two components that chose the same pair are the root of their tree, under the smaller name.
+        point = spool.save(best.join(back, "o").select(F.col("c").alias("id"), F.when((F.col("oo") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("to")))
+        while True:
+            onward = point.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            jumped = spool.save(point.join(onward, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            settled = jumped.filter("moved").isEmpty()
+            spool.drop(point)
+            path, point = jumped.spool_path, jumped.select("id", "to")
+            point.spool_path = path
+            if settled:
+                break
+        turned = live.join(point.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(point.select(F.col("id").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
+        contracted = spool.save(turned.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("e").alias("e")))
+        spool.drop(live, point)
+        live = contracted
+    return forest
+
+
+def _grow(frame: pd.DataFrame, allowed: Callable[[str, str], bool]) -> dict[str, str]:
+    """Clusters of one component, pairs taken from the heaviest on; ``allowed`` must hold for all cross pairs of a merge."""
     home: dict[str, list[str]] = {}
-    merges = []
-    for u, v, w in sorted(zip(frame["u"], frame["v"], frame["w"]), key=lambda e: (-e[2], e[0], e[1])):
+    for u, v, _ in sorted(zip(frame["u"], frame["v"], frame["w"]), key=lambda e: (-e[2], e[0], e[1])):
         a, b = home.setdefault(u, [u]), home.setdefault(v, [v])
-        if a is b or (allowed and not all(allowed(x, y) for x in a for y in b)):
+        if a is b or not all(allowed(x, y) for x in a for y in b):
             continue
-        merges += [(min(x, y), max(x, y), w) for x in a for y in b]
         if len(a) < len(b):
             a, b = b, a
         a += b
         for x in b:
             home[x] = a
-    return {x: min(g) for x, g in home.items()}, merges
-
-
-def merge_levels(spark: SparkSession, pairs: DataFrame, floor: float) -> DataFrame:
-    """(u, v, level) of every pair in one component: the weight at which single linkage first joins the two.
-
-    Components are found distributed; only within one is the order of merges sequential.
-    """
-    strong = pairs.filter(~F.isnan("w") & (F.col("w") >= floor) & (F.col("u") != F.col("v")))
-    marked = strong.join(components(spark, strong).withColumnRenamed("id", "u"), "u")
-
-    def levels(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_kruskal(frame, None)[1], columns=["u", "v", "level"])
-
-    return marked.select("u", "v", "w", "cluster").groupBy("cluster").applyInPandas(levels, "u string, v string, level double")
+    return {x: min(g) for x, g in home.items()}
 
 
 def coherent_clusters(spark: SparkSession, pairs: DataFrame, names: DataFrame, floor: float) -> DataFrame:
     """(id, cluster) where two clusters merge only if every cross pair of their names coheres.
 
-    ``names`` is (id, name_clean), an id once.  Names cohere as in ``functions.similarity.coherent``.
+    Merges depend on one another within a component, so a component is one task's work: keep ``floor`` at a level
+    whose components are bounded (``cluster_stats`` tells).  ``names`` is (id, name_clean), an id once.  Names cohere as in ``functions.similarity.coherent``.
     """
     strong = pairs.filter(~F.isnan("w") & (F.col("w") >= floor) & (F.col("u") != F.col("v")))
     left = names.select(F.col("id").alias("u"), F.col("name_clean").alias("nu"))
@@ -125,7 +145,7 @@ def coherent_clusters(spark: SparkSession, pairs: DataFrame, names: DataFrame, f
                 return True
             return 1 - _levenshtein(a, b) / max(len(a), len(b), 1) >= 0.72
 
-        home = _kruskal(frame, fits)[0]
+        home = _grow(frame, fits)
         return pd.DataFrame({"id": list(home), "cluster": list(home.values())})
 
     return marked.select("u", "v", "w", "nu", "nv", "cluster").groupBy("cluster").applyInPandas(grow, "id string, cluster string")

@@ -97,7 +97,7 @@ def best_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merge_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """The single-linkage level of every pair of ids in one cluster."""
+    """The merges of single linkage with their levels, one less than the ids of each cluster."""
     return graph.merge_levels(spark, _pairs(spark, folder), FLOOR)
 
 

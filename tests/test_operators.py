@@ -53,7 +53,7 @@ def test_components_levels_and_links(spark):
     got = {r["id"]: r["cluster"] for r in graph.clusters_at(spark, pairs, 5.0).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "f", "g": "g"}
     levels = {(r["u"], r["v"]): r["level"] for r in graph.merge_levels(spark, pairs, 5.0).collect()}
-    assert levels == {("a", "b"): 9.0, ("a", "c"): 7.0, ("b", "c"): 7.0}
+    assert levels == {("a", "b"): 9.0, ("a", "c"): 7.0}
     best = {(r["u"], r["v"]) for r in graph.best_links(pairs.filter("w > 0 and not isnan(w) and u <> v")).collect()}
     assert best == {("a", "b"), ("a", "c"), ("c", "d")}
     names = spark.createDataFrame([("a", "ACME PAVING"), ("b", "ACME PAVINGS"), ("c", "ZEBRA HOTEL"), ("d", None)], "id string, name_clean string")
@@ -66,6 +66,26 @@ def test_components_levels_and_links(spark):
     assert tuple(churn) == (7, 3)
 
 
+def test_merge_levels_match_kruskal(spark):
+    rng = random.Random(4)
+    rows = [(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}", float(rng.randrange(1, 12))) for _ in range(120)]
+    got = sorted(tuple(r) for r in graph.merge_levels(spark, spark.createDataFrame(rows, "u string, v string, w double"), 3.0).collect())
+    home, want = {}, []
+    best: dict = {}
+    for u, v, w in rows:
+        if u != v and w >= 3:
+            best[min(u, v), max(u, v)] = max(w, best.get((min(u, v), max(u, v)), 0))
+    for (u, v), w in sorted(best.items(), key=lambda e: (-e[1], e[0])):
+        a, b = home.setdefault(u, {u}), home.setdefault(v, {v})
+        if a is not b:
+            want.append((u, v, w))
+            a |= b
+            for x in b:
+                home[x] = a
+    assert got == sorted(want)
+    assert graph.merge_levels(spark, spark.createDataFrame([], "u string, v string, w double"), 0.0).count() == 0
+
+
 def test_long_chain_component(spark):
     edges = spark.createDataFrame([(f"{i:04d}", f"{i + 1:04d}") for i in range(300)], "u string, v string")
     assert {r["cluster"] for r in graph.components(spark, edges).collect()} == {"0000"}
