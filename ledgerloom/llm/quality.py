@@ -185,7 +185,9 @@ def kind() -> Column:
     )
     junk = broken & ((c("common_share") < 0.20) | (c("symbol_share") >= 0.15))
     # Encoded lines mix letters, digits and signs in long unbroken runs; a list's or table's serials are short.
-    encoded = ~prose & (c("columns") < 2) & (c("odd_word_share") >= 0.35) & (c("n_chars") / c("n_words") > 6.5) & (c("marker_share") < 0.5)
+    runs = (c("odd_word_share") >= 0.35) & (c("n_chars") / c("n_words") > 6.5) & (c("marker_share") < 0.5)
+    runs = runs | ((c("odd_word_share") >= 0.6) & (c("mean_word_length") >= 10.5))
+    encoded = ~prose & (c("columns") < 2) & runs
     return F.when(c("n_words").isNull(), None).when(table & ~encoded, "table").when(listed & ~encoded, "list").when(junk, "junk")
 
 

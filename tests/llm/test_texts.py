@@ -138,7 +138,7 @@ def test_holds_at_the_bound():
 KINDS = {
     "list": ["Items\n1. Winch AD771282\n2. Grader PS766421\n3. Pump TS206579", "used crane\nnew pump\nidle baler\nheavy hoist\nrebuilt auger", "- idle pump, S/N DF5\n- used drill, S/N RE4\n- new crane, S/N AB1"],
     "table": ["SERIAL|YEAR|TYPE\nAB1|1999|pump\nCD2|2001|\nEF3|2004|crane", "a,1990,pump,55.10\nb,1991,drill,\nc,1992,crane,1.00", "SN1   1990   pump\nSN2   1991   crane\nSN3   1992   hoist"],
-    "junk": ["cdgt sqhvlbr hjfnqq tpkvk flpmdz knw", "0" * 300, "█□■" * 40, "3b ec fb ef 33 5c 96 db 2e fe 41 b6", "pump " * 15, "$e$c:[9d#^o9 |='[<9|e%mo~%r5a@;1>] te#m0_]l>=a^5"],
+    "junk": ["cdgt sqhvlbr hjfnqq tpkvk flpmdz knw", "0" * 300, "█□■" * 40, "3b ec fb ef 33 5c 96 db 2e fe 41 b6", "pump " * 15, "+r86XwdI7n8DwMqWJdpTO7IB9VDoDK2shQXevAVHCrncIA4YTocqy5nDPju9dnKp5n+ai7dYi6sI\nK7z3OWylD2f/aZosH5uLj2JKuC+lOaS2Pm9TxQ==", "$e$c:[9d#^o9 |='[<9|e%mo~%r5a@;1>] te#m0_]l>=a^5"],
     None: [
         "The crane was moved to the yard in March, and it was sold.", "THE CRANE WAS MOVED TO THE YARD AND IT WAS SOLD", "Since the firm closed,\nits press has been\nused by the dealer.",
         "La deuda es de 418,035 dólares y la caldera la respalda en el patio.", "建設機械は倉庫にあります。所有者は銀行です。", "", "   ", None,
