@@ -4,7 +4,7 @@ Names are read into a distinctive part and common words, with legal forms, title
 abbreviations and nicknames written out.  Which words are common is counted over all names.  Distinct readings
 become sparse vectors of character n-grams, weighted by their rarity; the vectors of readings whose common words
 agree are multiplied in a distributed sparse join; pairs of enough cosine are verified by edit distance and grouped
-by average linkage, merging mutual best pairs round by round.
+by average linkage over the cosines of all their pairs, merging mutual best pairs round by round.
 """
 
 from __future__ import annotations
@@ -291,16 +291,44 @@ def ngram_pairs(spool: Spool, cases: DataFrame, least: float) -> DataFrame:
     return products.filter((F.col("cosine") >= least) & (F.col("shared") >= F.col("needed"))).select("a", "b", "cosine")
 
 
-def average_linkage(spark: SparkSession, edges: DataFrame, floor: float) -> DataFrame:
+def gram_vectors(cases: DataFrame) -> DataFrame:
+    """(id, g, w) of cases (id, part): the TF-IDF vector of the framed part's trigrams, of length 1."""
+    framed = F.concat(F.lit("^"), "part", F.lit("$"))
+    grams = F.transform(F.sequence(F.lit(1), F.length(framed) - 2), lambda i: F.substring(framed, i, F.lit(3)))
+    held = cases.select("id", F.explode(grams).alias("gram")).groupBy("id", F.xxhash64("gram").alias("g")).agg(F.count("*").alias("tf"))
+    total = cases.count()
+    counts = held.groupBy("g").agg(F.sum("tf").alias("n"))
+    weighed = held.join(counts, "g").withColumn("w", F.col("tf") * F.log(1 + F.lit(float(total)) / F.col("n")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return weighed.select("id", "g", (F.col("w") / norm).alias("w"))
+
+
+def _dots(pairs: DataFrame, sums: DataFrame) -> DataFrame:
+    """(a, b, s): for each pair of clusters the dot product of their summed vectors, the sum of all cross cosines."""
+    left = sums.select(F.col("cluster").alias("a"), "g", F.col("w").alias("wa"))
+    right = sums.select(F.col("cluster").alias("b"), "g", F.col("w").alias("wb"))
+    met = pairs.join(left, "a").join(right, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
+    return pairs.join(met, ["a", "b"], "left").select("a", "b", F.coalesce("s", F.lit(0.0)).alias("s"))
+
+
+def average_linkage(spark: SparkSession, edges: DataFrame, floor: float, vectors: DataFrame | None = None) -> DataFrame:
     """(id, cluster) for every id on an edge (a, b, s): average-linkage clusters of similarity ``floor`` or more.
 
-    A pair without an edge has similarity 0.  In each round every two clusters that are each other's most similar
-    merge; since an average lies between its parts this gives the clusters of merging the best pair each time.
-    Ties go to the smaller pair of ids, so at least one pair merges as long as any reaches the floor.
+    With ``vectors`` (id, g, w), of length 1, the average is that of the cosines of all pairs of two clusters,
+    on an edge or not, as the dot product of their summed vectors; edges only tell which clusters may merge.  So
+    the number of spellings of a case does not thin its average out.  Without them a pair without an edge has
+    similarity 0, and since an average lies between its parts, merging in rounds gives the clusters of merging the
+    best pair each time.  In each round every two clusters that are each other's most similar merge.  Ties go to
+    the smaller pair of ids, so at least one pair merges as long as any reaches the floor.
     """
     spool = Spool(spark, "linkage")
     live = spool.save(edges.select("a", "b", "s"))
     home = spool.save(live.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("cluster"), F.lit(1).alias("size")))
+    own = None
+    if vectors is not None:
+        own = spool.save(vectors.join(home.select("id"), "id").select("id", "g", "w"))
+        before, live = live, spool.save(_dots(live.select("a", "b"), own.withColumnRenamed("id", "cluster")))
+        spool.drop(before)
     while True:
         sizes = home.groupBy("cluster").agg(F.count("*").alias("n"))
         rated = (
@@ -324,8 +352,18 @@ def average_linkage(spark: SparkSession, edges: DataFrame, floor: float) -> Data
             .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .agg(F.sum("s").alias("s"))
         )
-        before = (live, home)
+        before = [live, home]
         home, live = spool.save(moved), spool.save(turned)
+        if own is not None:
+            # Only pairs with a cluster that has grown have another sum than in the round before.
+            grown = merged.select(F.col("new").alias("c"))
+            touched = live.join(grown.withColumnRenamed("c", "a"), "a", "left_semi").union(live.join(grown.withColumnRenamed("c", "b"), "b", "left_semi"))
+            pairs = spool.save(touched.select("a", "b").distinct())
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("cluster")).distinct()
+            sums = spool.save(home.join(wanted, "cluster").join(own, "id").groupBy("cluster", "g").agg(F.sum("w").alias("w")))
+            summed = spool.save(live.join(pairs, ["a", "b"], "left_anti").select("a", "b", "s").unionByName(_dots(pairs, sums)))
+            before += [live, pairs, sums]
+            live = summed
         spool.drop(*before, merged)
 
 
@@ -368,8 +406,12 @@ def same_name(spark: SparkSession, records: DataFrame) -> DataFrame:
     parts = cases.select("id", "part")
     wide = similar.join(parts.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
     edges = spool.save(wide.select("a", "b", F.col("cosine").alias("s"), "pa", "pb").mapInArrow(verify, "a long, b long, s double"))
-    clusters = average_linkage(spark, edges, LINKAGE)
+    clusters = spool.save(average_linkage(spark, edges, LINKAGE, gram_vectors(parts)))
     members = records.join(readings.select("name", "id"), "name").join(clusters, "id", "left")
-    members = spool.save(members.select("key", F.coalesce("cluster", "id").alias("id")).distinct())
-    no_links = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return record_pairs(members, no_links)
+    members = spool.save(members.select("key", F.col("id").alias("case"), F.coalesce("cluster", "id").alias("id")).distinct())
+    # A verified pair stays a pair where the averages part its ends.
+    home = lambda c: clusters.select(F.col("id").alias(c), F.col("cluster").alias(f"c{c}"))
+    across = edges.join(home("a"), "a").join(home("b"), "b").filter("ca <> cb").select("a", "b")
+    own = members.select("key", F.col("case").alias("id")).distinct()
+    within = record_pairs(members.select("key", "id").distinct(), across.limit(0))
+    return within.union(record_pairs(own.join(across.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), across)).distinct()

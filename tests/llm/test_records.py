@@ -73,6 +73,18 @@ def test_same_name_pairs(spark):
     assert same_name(spark, spark.createDataFrame([], "key string, name string")).count() == 0
 
 
+def test_a_short_name_of_many_spellings_stays_one(spark):
+    rng = random.Random(5)
+    base = "KRUKEPI"
+    spelt = {base} | {base[:i] + c + base[i + 1 :] for i in range(7) for c in "BDGLMNSTVZ" if c != base[i]}
+    names = [base, *sorted(spelt - {base})[:: len(spelt) // 50][:50]]
+    names = [f"{n} ANDREW" for n in names] + [f"{p.split()[0]} {GIVEN[i % 15]}" for i, p in enumerate(_people(rng, 240))]
+    rows = [(f"k{i:03d}", n) for i, n in enumerate(names)]
+    got = {tuple(r) for r in same_name(spark, spark.createDataFrame(rows, "key string, name string")).collect()}
+    want = set(itertools.combinations([f"k{i:03d}" for i in range(51)], 2))
+    assert want <= got
+
+
 def test_average_linkage_matches_brute_force(spark):
     rng = random.Random(2)
     ids = list(range(30))
