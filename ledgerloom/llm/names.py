@@ -2,9 +2,9 @@
 
 Names are read into a distinctive part and common words, with legal forms, titles and initials left out and
 abbreviations and nicknames written out.  Which words are common is counted over all names.  Distinct readings
-become sparse vectors of character n-grams, weighted by their rarity; the vectors of readings whose common words
-agree are multiplied in a distributed sparse join; pairs of enough cosine are verified by edit distance and grouped
-by average linkage over the cosines of all their pairs, merging mutual best pairs round by round.
+whose common words agree become candidates if what a few deletions leave of them is the same, or, of long ones, by
+a distributed sparse product of character trigrams; candidates are verified by edit distance.  Readings are also
+sparse vectors of trigrams weighted by their rarity, whose products in a distributed join group verified pairs by average linkage over the cosines of all their pairs, merging mutual best pairs round by round.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,8 +137,10 @@ NICKNAMES = {
 #: A word is common if it stands beside at least this many different words, in this share of distinct names;
 #: so there are at most some ten thousand common words, whatever the size of the input.
 MATES, SHARE = 12, 1 / 2000
-#: Least cosine of a candidate, and least average cosine within a group.
-COSINE, LINKAGE = 0.1, 0.05
+#: Least average cosine within a group.
+LINKAGE = 0.05
+#: Letters of a distinctive part up to which candidates are found by what deletions leave; longer ones by trigrams.
+NEAR = 16
 
 
 def name_words(raw: str | None) -> list[str] | None:
@@ -262,33 +265,49 @@ def common_words(names: DataFrame, words: str) -> dict[str, int]:
     return {r["w"]: r["held"] for r in found.select("w", "held").collect()}
 
 
-def ngram_pairs(spool: Spool, cases: DataFrame, least: float) -> DataFrame:
-    """(a, b, cosine) of cases (id, part, block) of one block whose n-gram vectors have a cosine of ``least`` or more.
+def near_pairs(spool: Spool, cases: DataFrame) -> DataFrame:
+    """(a, b) of cases (id, part, block) of one block, with parts of up to NEAR letters, that ``same_spelling`` could accept.
 
-    Vectors hold character trigrams of the framed part, each weighing the logarithm of its rarity, at length 1.
-    They are multiplied gram by gram, sparse against sparse, and products are added up on the map side first.
-    Only pairs that ``same_spelling`` could accept are multiplied: so many edits change the length by no more,
-    move a gram by no more, and leave all but four grams for each of them.  No other pair is lost, none capped.
+    Two parts within so many edits leave the same letters when as many are taken out of each; so every part is
+    filed under all that can be left of it.  No pair of such lengths is lost, none capped.
+    """
+
+    def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                ids, buckets = [], []
+                for case, part, block in zip(*(c.to_pylist() for c in batch.slice(i, 2000).columns)):
+                    for x in _deletions(part, 1 if len(part) <= 7 else 2):
+                        ids.append(case)
+                        buckets.append(xxhash.xxh64_intdigest(f"{block}|{x}") - (1 << 63))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(buckets, pa.int64())], names=["id", "bucket"])
+
+    short = cases.select("id", "part", "block").filter(F.length("part").between(4, NEAR))
+    filed = spool.save(short.mapInArrow(left_over, "id long, bucket long"))
+    met = filed.select(F.col("id").alias("a"), "bucket").join(filed.select(F.col("id").alias("b"), "bucket"), "bucket")
+    return met.filter("a < b").select("a", "b").distinct()
+
+
+def ngram_pairs(spool: Spool, cases: DataFrame) -> DataFrame:
+    """(a, b) of cases (id, part, block) of one block, the longer part over NEAR letters, that ``same_spelling`` could accept.
+
+    The trigrams of the framed parts are multiplied gram by gram, sparse against sparse, and added up on the map
+    side first.  So many edits change the length by no more, move a gram by no more, and leave all but four grams
+    for each of them, of which parts over NEAR letters have more.  No pair of such lengths is lost, none capped.
     """
     framed = F.concat(F.lit("^"), "part", F.lit("$"))
     at = F.sequence(F.lit(1), F.length(framed) - 2)
     spots = F.transform(at, lambda i: F.struct(i.alias("at"), F.substring(framed, i, F.lit(3)).alias("g")))
-    grams = cases.select("id", "block", F.length("part").alias("long"), F.explode(spots).alias("s")).select("id", "block", "long", "s.at", "s.g")
-    total = cases.count()
-    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
-    weighed = grams.join(counts, "g").withColumn("w", F.log(1 + F.lit(float(total)) / F.col("n")))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    vectors = weighed.select("id", F.xxhash64("block", "g").alias("bucket"), F.col("long").cast("short").alias("long"), F.col("at").cast("short").alias("at"), (F.col("w") / norm).cast("float").alias("w"))
+    long = cases.select("id", "part", "block").filter(F.length("part") > NEAR - 2)
+    grams = long.select("id", "block", F.length("part").alias("long"), F.explode(spots).alias("s")).select("id", "block", "long", "s.at", "s.g")
+    vectors = grams.select("id", F.xxhash64("block", "g").alias("bucket"), F.col("long").cast("short").alias("long"), F.col("at").cast("short").alias("at"))
     vectors = spool.save(vectors)
-    left = vectors.select(F.col("id").alias("a"), "bucket", F.col("long").alias("la"), F.col("at").alias("pa"), F.col("w").alias("wa"))
-    right = vectors.select(F.col("id").alias("b"), "bucket", F.col("long").alias("lb"), F.col("at").alias("pb"), F.col("w").alias("wb"))
-    longer = F.greatest("la", "lb")
-    edits = F.when(F.least("la", "lb") <= 3, 0).when(longer <= 7, 1).otherwise(2)
-    met = left.join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= edits) & (F.abs(F.col("pa") - F.col("pb")) <= edits))
-    products = met.groupBy("a", "b").agg(
-        F.sum(F.col("wa") * F.col("wb")).alias("cosine"), F.count("*").alias("shared"), F.max(F.greatest("la", "lb") - 4 * edits).alias("needed")
-    )
-    return products.filter((F.col("cosine") >= least) & (F.col("shared") >= F.col("needed"))).select("a", "b", "cosine")
+    left = vectors.select(F.col("id").alias("a"), "bucket", F.col("long").alias("la"), F.col("at").alias("pa"))
+    right = vectors.select(F.col("id").alias("b"), "bucket", F.col("long").alias("lb"), F.col("at").alias("pb"))
+    near = (F.abs(F.col("la") - F.col("lb")) <= 2) & (F.abs(F.col("pa") - F.col("pb")) <= 2) & (F.greatest("la", "lb") > NEAR)
+    met = left.join(right, "bucket").filter((F.col("a") < F.col("b")) & near)
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(F.greatest("la", "lb") - 8).alias("needed"))
+    return shared.filter(F.col("shared") >= F.col("needed")).select("a", "b")
 
 
 def gram_vectors(cases: DataFrame) -> DataFrame:
@@ -312,7 +331,7 @@ def _dots(pairs: DataFrame, sums: DataFrame) -> DataFrame:
 
 
 def average_linkage(spark: SparkSession, edges: DataFrame, floor: float, vectors: DataFrame | None = None) -> DataFrame:
-    """(id, cluster) for every id on an edge (a, b, s): average-linkage clusters of similarity ``floor`` or more.
+    """(id, cluster) for every id on an edge (a, b, s), or (a, b) with vectors: average-linkage clusters of similarity ``floor`` or more.
 
     With ``vectors`` (id, g, w), of length 1, the average is that of the cosines of all pairs of two clusters,
     on an edge or not, as the dot product of their summed vectors; edges only tell which clusters may merge.  So
@@ -322,7 +341,7 @@ def average_linkage(spark: SparkSession, edges: DataFrame, floor: float, vectors
     the smaller pair of ids, so at least one pair merges as long as any reaches the floor.
     """
     spool = Spool(spark, "linkage")
-    live = spool.save(edges.select("a", "b", "s"))
+    live = spool.save(edges.select("a", "b", "s" if vectors is None else F.lit(0.0).alias("s")))
     home = spool.save(live.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("cluster"), F.lit(1).alias("size")))
     own = None
     if vectors is not None:
@@ -396,16 +415,16 @@ def same_name(spark: SparkSession, records: DataFrame) -> DataFrame:
     readings = names.mapInArrow(read, "name string, part string, block string").withColumn("id", F.xxhash64("part", "block"))
     readings = spool.save(readings)
     cases = spool.save(readings.select("id", "part", "block").dropDuplicates(["id"]))
-    similar = ngram_pairs(spool, cases, COSINE)
+    similar = near_pairs(spool, cases).union(ngram_pairs(spool, cases))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [same_spelling(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            yield batch.select([0, 1, 2]).filter(pa.array(good, pa.bool_()))
+            good = [same_spelling(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     parts = cases.select("id", "part")
     wide = similar.join(parts.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
-    edges = spool.save(wide.select("a", "b", F.col("cosine").alias("s"), "pa", "pb").mapInArrow(verify, "a long, b long, s double"))
+    edges = spool.save(wide.select("a", "b", "pa", "pb").mapInArrow(verify, "a long, b long"))
     clusters = spool.save(average_linkage(spark, edges, LINKAGE, gram_vectors(parts)))
     members = records.join(readings.select("name", "id"), "name").join(clusters, "id", "left")
     members = spool.save(members.select("key", F.col("id").alias("case"), F.coalesce("cluster", "id").alias("id")).distinct())

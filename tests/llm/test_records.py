@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from ledgerloom.llm.addresses import LIMIT, Place, alignment_cost, read_address, same_place
 from ledgerloom.llm.formatting import collapse, column_hashes, same_field, same_in_order
-from ledgerloom.llm.names import Vocabulary, average_linkage, name_words, read_name, same_name
+from ledgerloom.llm.names import Vocabulary, average_linkage, name_words, read_name, same_name, same_spelling
 from ledgerloom.llm.spelling import distance
 
 GIVEN = "ANDREW BENJAMIN CHARLES DOROTHY EDWARD GERALD HAROLD JAMES KATHERINE LAWRENCE MARGARET NICHOLAS PATRICIA RAYMOND SAMUEL".split()
@@ -85,6 +85,20 @@ def test_a_short_name_of_many_spellings_stays_one(spark):
     assert want <= got
 
 
+def test_every_pair_of_the_edits_is_a_candidate(spark):
+    rng = random.Random(8)
+    typed = lambda w: (lambda i: rng.choice([w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + w[i + 1 :], w[:i] + rng.choice("AEKST") + w[i + 1 :]]))(rng.randrange(len(w) - 1))
+    names = ["KING", "KNIG", "SIWUKERT", "SWIUKRET", "WPUEMATEN", "WUPEMTAEN", "POEZKRET", "POZEKRT", "BRUZIUT", "BRYZIHUT"]
+    for long in (4, 7, 8, 9, 15, 16, 17, 18, 30):
+        for _ in range(8):
+            word = "".join(rng.choice("BDKLMNRSTAEIOU") for _ in range(long))
+            names += [word, typed(word), typed(typed(word))]
+    rows = [(f"k{i:03d}", n) for i, n in enumerate(names)]
+    got = {tuple(r) for r in same_name(spark, spark.createDataFrame(rows, "key string, name string")).collect()}
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if same_spelling(x, y)}
+    assert len(want) > 100 and want <= got
+
+
 def test_average_linkage_matches_brute_force(spark):
     rng = random.Random(2)
     ids = list(range(30))
