@@ -9,6 +9,7 @@ sparse vectors of trigrams weighted by their rarity, whose products in a distrib
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -141,6 +142,8 @@ MATES, SHARE = 12, 1 / 2000
 LINKAGE = 0.05
 #: Letters of a distinctive part up to which candidates are found by what deletions leave; longer ones by trigrams.
 NEAR = 16
+#: Rare words of a name of which every order is read.
+ORDERS = 4
 
 
 def name_words(raw: str | None) -> list[str] | None:
@@ -235,17 +238,37 @@ class Vocabulary:
         return out
 
 
+def _read(words: list[str], vocabulary: Vocabulary) -> tuple[list[str], list[str]]:
+    """(rare words in their order, common words sorted)."""
+    read = [x for w in words for x in vocabulary.read(w)]
+    return [x for x in read if x not in vocabulary.words], sorted({x for x in read if x in vocabulary.words})
+
+
 def read_name(words: list[str], vocabulary: Vocabulary) -> tuple[str, str]:
     """(distinctive part, common words): rare words in one, in their order; common ones sorted.
 
     A name of common words only is all distinctive, so that it is compared letter by letter.
     """
-    read = [x for w in words for x in vocabulary.read(w)]
-    common = sorted({x for x in read if x in vocabulary.words})
-    rare = "".join(x for x in read if x not in vocabulary.words)
+    rare, common = _read(words, vocabulary)
     if not rare:
         return "".join(common), ""
-    return rare, " ".join(NICKNAMES.get(x) or ABBREVIATIONS.get(x) or x for x in common)
+    return "".join(rare), " ".join(NICKNAMES.get(x) or ABBREVIATIONS.get(x) or x for x in common)
+
+
+def name_readings(words: list[str], vocabulary: Vocabulary) -> list[tuple[str, str]]:
+    """``read_name`` for each order of the rare words, the typed one first.
+
+    Of up to ORDERS rare words all orders are read; of more, the rotations of the typed and of the sorted order.
+    """
+    typed, common = read_name(words, vocabulary)
+    rare = _read(words, vocabulary)[0]
+    if len(rare) < 2:
+        return [(typed, common)]
+    if len(rare) <= ORDERS:
+        orders = [list(p) for p in itertools.permutations(rare)]
+    else:
+        orders = [w[i:] + w[:i] for w in (rare, sorted(rare)) for i in range(len(w))]
+    return list(dict.fromkeys([(typed, common), *(("".join(o), common) for o in orders)]))
 
 
 def same_spelling(a: str, b: str) -> bool:
@@ -408,9 +431,9 @@ def same_name(spark: SparkSession, records: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(sent.value)
         for batch in batches:
-            rows = [read_name(w, vocabulary) for w in batch.column(1).to_pylist()]
-            parts = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *parts], names=["name", "part", "block"])
+            rows = [(n, *r) for n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in name_readings(w, vocabulary)]
+            parts = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays(parts, names=["name", "part", "block"])
 
     readings = names.mapInArrow(read, "name string, part string, block string").withColumn("id", F.xxhash64("part", "block"))
     readings = spool.save(readings)
