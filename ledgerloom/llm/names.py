@@ -182,6 +182,7 @@ class Vocabulary:
 
     def __init__(self, counts: dict[str, int]):
         self.words: set[str] = set()
+        self.longest = max(map(len, counts), default=0)
         self.near: dict[str, list[str]] = {}
         self.longer: dict[str, list[str]] = {}
         self.skeletons: dict[str, list[str]] = {}
@@ -203,7 +204,7 @@ class Vocabulary:
 
     def _nearest(self, w: str) -> str | None:
         """The closest common word within the edits that both lengths allow."""
-        most = _edits(w)
+        most = _edits(w) if len(w) <= self.longest + 2 else 0
         near = {v for x in _deletions(w, most) for v in self.near.get(x, ())} if most else set()
         rated = [(distance(v, w, most), v[0] != w[0], v) for v in near]
         return min((r for r in rated if r[0] <= min(most, _edits(r[2]))), default=(0, 0, None))[2]
@@ -323,7 +324,7 @@ def ngram_pairs(spool: Spool, cases: DataFrame) -> DataFrame:
     spots = F.transform(at, lambda i: F.struct(i.alias("at"), F.substring(framed, i, F.lit(3)).alias("g")))
     long = cases.select("id", "part", "block").filter(F.length("part") > NEAR - 2)
     grams = long.select("id", "block", F.length("part").alias("long"), F.explode(spots).alias("s")).select("id", "block", "long", "s.at", "s.g")
-    vectors = grams.select("id", F.xxhash64("block", "g").alias("bucket"), F.col("long").cast("short").alias("long"), F.col("at").cast("short").alias("at"))
+    vectors = grams.select("id", F.xxhash64("block", "g").alias("bucket"), "long", "at")
     vectors = spool.save(vectors)
     left = vectors.select(F.col("id").alias("a"), "bucket", F.col("long").alias("la"), F.col("at").alias("pa"))
     right = vectors.select(F.col("id").alias("b"), "bucket", F.col("long").alias("lb"), F.col("at").alias("pb"))

@@ -109,6 +109,14 @@ def test_rare_words_in_another_order_are_one_name(spark):
     assert got == {(a, b) for (a, _), (b, _) in itertools.combinations(rows, 2) if a[0] == b[0]}
 
 
+def test_a_name_of_forty_thousand_letters(spark):
+    long = "".join(random.Random(4).choice("BDKLMNRST") for _ in range(40_000))
+    rows = [("a1", long), ("a2", long[:20_000] + "Z" + long[20_001:]), ("b1", "ZOTROWAR ANDREW"), ("b2", "ZOTROWRA ANDREW")]
+    got = {tuple(r) for r in same_name(spark, spark.createDataFrame(rows, "key string, name string")).collect()}
+    assert got == {("a1", "a2"), ("b1", "b2")}
+    assert Vocabulary({"PLUMBING": 40}).read(long) == (long,)
+
+
 def test_average_linkage_matches_brute_force(spark):
     rng = random.Random(2)
     ids = list(range(30))
