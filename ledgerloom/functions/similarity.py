@@ -138,15 +138,16 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 
 def head_extension(a: Column, b: Column, head: int = 8, share: float = 0.4) -> Column:
-    """Whether one name begins with the other, the shorter having ``head`` letters and ``share`` of the longer."""
-    short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    """Whether one name begins with the other, spaces apart, the shorter having ``head`` letters and ``share`` of the longer."""
+    x, y = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
+    short = F.when(F.length(x) <= F.length(y), x).otherwise(y)
+    long = F.when(F.length(x) <= F.length(y), y).otherwise(x)
     return long.startswith(short) & (F.length(short) >= head) & (F.length(short) / F.length(long) >= share)
 
 
 def coherent(a: Column, b: Column) -> Column:
-    """Whether two clean names may stand in one cluster."""
-    return (edit_ratio(a, b) >= 0.72) | head_extension(a, b)
+    """Whether two clean names may stand in one cluster: few edits with the spaces, or a head extension without them."""
+    return (a == b) | (edit_ratio(a, b) >= 0.72) | head_extension(a, b)
 
 
 @F.arrow_udf(T.DoubleType())

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.similarity import coherent
 from ledgerloom.plans.spool import Spool
 
 
+def jump(spool: Spool, point: DataFrame) -> DataFrame:
+    """The pointers (id, to) of a forest moved on to their roots by doubling; ``point`` is a spooled table and is dropped."""
+    while True:
+        onward = point.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        jumped = spool.save(point.join(onward, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        spool.drop(point)
+        point = jumped
+        if point.filter("moved").isEmpty():
+            return point
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, cluster) for every id on an edge (u, v): the smallest id reachable.
 
@@ -24,19 +33,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         return df.filter("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     live, maps = spool.save(undirected(edges)), []
-    while not live.isEmpty():
+    while live.spool_rows:
         ends = live.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("to"))
         starts = live.select(F.col("u").alias("id"), F.col("u").alias("to")).distinct()
         point = spool.save(ends.unionByName(starts).groupBy("id").agg(F.min("to").alias("to")))
-        while True:
-            onward = point.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            jumped = spool.save(point.join(onward, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
-            settled = jumped.filter("moved").isEmpty()
-            spool.drop(point)
-            path, point = jumped.spool_path, jumped.select("id", "to")
-            point.spool_path = path
-            if settled:
-                break
+        point = jump(spool, point)
         maps.append(point)
         u = point.select(F.col("id").alias("u"), F.col("to").alias("x"))
         v = point.select(F.col("id").alias("v"), F.col("to").alias("y"))
@@ -86,22 +87,14 @@ def merge_levels(spark: SparkSession, pairs: DataFrame, floor: float) -> DataFra
     edge = strong.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w"))
     live = spool.save(edge.select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct((-F.col("w")).alias("m"), "u", "v").alias("e")))
     forest = edge.select("u", "v", F.col("w").alias("level")).limit(0)
-    while not live.isEmpty():
+    while live.spool_rows:
         ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o"), "e"), F.struct(F.col("b").alias("c"), F.col("a").alias("o"), "e"))).alias("x")).select("x.*")
         best = spool.save(ends.groupBy("c").agg(F.min(F.struct("e", "o")).alias("x")).select("c", "x.e", "x.o"))
         forest = forest.unionByName(best.select("e").distinct().select("e.u", "e.v", (-F.col("e.m")).alias("level")))
         back = best.select(F.col("c").alias("o"), F.col("o").alias("oo"))
         # Two components that chose the same pair are the root of their tree, under the smaller name.
         point = spool.save(best.join(back, "o").select(F.col("c").alias("id"), F.when((F.col("oo") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("to")))
-        while True:
-            onward = point.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            jumped = spool.save(point.join(onward, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
-            settled = jumped.filter("moved").isEmpty()
-            spool.drop(point)
-            path, point = jumped.spool_path, jumped.select("id", "to")
-            point.spool_path = path
-            if settled:
-                break
+        point = jump(spool, point)
         turned = live.join(point.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(point.select(F.col("id").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
         contracted = spool.save(turned.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("e").alias("e")))
         spool.drop(live, point)
@@ -109,55 +102,43 @@ def merge_levels(spark: SparkSession, pairs: DataFrame, floor: float) -> DataFra
     return forest
 
 
-def _grow(frame: pd.DataFrame, allowed: Callable[[str, str], bool]) -> dict[str, str]:
-    """Clusters of one component, pairs taken from the heaviest on; ``allowed`` must hold for all cross pairs of a merge."""
-    home: dict[str, list[str]] = {}
-    for u, v, _ in sorted(zip(frame["u"], frame["v"], frame["w"]), key=lambda e: (-e[2], e[0], e[1])):
-        a, b = home.setdefault(u, [u]), home.setdefault(v, [v])
-        if a is b or not all(allowed(x, y) for x in a for y in b):
-            continue
-        if len(a) < len(b):
-            a, b = b, a
-        a += b
-        for x in b:
-            home[x] = a
-    return {x: min(g) for x, g in home.items()}
-
-
 def coherent_clusters(spark: SparkSession, pairs: DataFrame, names: DataFrame, floor: float) -> DataFrame:
     """(id, cluster) where two clusters merge only if every cross pair of their names coheres.
 
-    Merges depend on one another within a component, so a component is one task's work: keep ``floor`` at a level
-    whose components are bounded (``cluster_stats`` tells).  ``names`` is (id, name_clean), an id once.  Names cohere as in ``functions.similarity.coherent``.
+    Pairs (u, v, w) of weight ``floor`` or more count from the heaviest on, ties by the ids; NaN and null link
+    nothing.  ``names`` is (id, name_clean), an id once; an absent name is empty.  Names cohere as in
+    ``functions.similarity.coherent``.  The cluster is named by its smallest id.
+
+    Two clusters that do not cohere never will, since members only come in; so every round drops such pairs and
+    merges all clusters that are each other's heaviest partner, which gives what merging one pair at a time
+    does.  Members meet only across clusters that are about to merge.
     """
+    spool = Spool(spark, "coherent")
     strong = pairs.filter(~F.isnan("w") & (F.col("w") >= floor) & (F.col("u") != F.col("v")))
-    left = names.select(F.col("id").alias("u"), F.col("name_clean").alias("nu"))
-    right = names.select(F.col("id").alias("v"), F.col("name_clean").alias("nv"))
-    marked = strong.join(components(spark, strong).withColumnRenamed("id", "u"), "u").join(left, "u", "left").join(right, "v", "left")
-
-    def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        called = dict(zip(frame["u"], frame["nu"])) | dict(zip(frame["v"], frame["nv"]))
-
-        def fits(x: str, y: str) -> bool:
-            a, b = called.get(x) or "", called.get(y) or ""
-            short, long = sorted((a, b), key=len)
-            if long.startswith(short) and len(short) >= 8 and len(short) >= 0.4 * len(long):
-                return True
-            return 1 - _levenshtein(a, b) / max(len(a), len(b), 1) >= 0.72
-
-        home = _grow(frame, fits)
-        return pd.DataFrame({"id": list(home), "cluster": list(home.values())})
-
-    return marked.select("u", "v", "w", "nu", "nv", "cluster").groupBy("cluster").applyInPandas(grow, "id string, cluster string")
-
-
-def _levenshtein(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    edge = strong.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max("w").alias("w"))
+    live = spool.save(edge.select("a", "b", F.struct((-F.col("w")).alias("m"), F.col("a").alias("u"), F.col("b").alias("v")).alias("e"), F.lit(True).alias("fresh")))
+    ids = live.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    home = spool.save(ids.join(names.select("id", F.coalesce("name_clean", F.lit("")).alias("name")), "id", "left").select("id", F.col("id").alias("cluster"), F.coalesce("name", F.lit("")).alias("name")))
+    while live.spool_rows:
+        left = home.select(F.col("cluster").alias("a"), F.col("name").alias("x")).distinct()
+        right = home.select(F.col("cluster").alias("b"), F.col("name").alias("y")).distinct()
+        apart = live.filter("fresh").select("a", "b").join(left, "a").join(right, "b").filter(~coherent(F.col("x"), F.col("y"))).select("a", "b").distinct()
+        fitting = spool.save(live.join(apart, ["a", "b"], "left_anti").select("a", "b", "e"))
+        ends = fitting.select(F.explode(F.array(F.struct(F.col("a").alias("c"), "e"), F.struct(F.col("b").alias("c"), "e"))).alias("x")).select("x.*")
+        best = ends.groupBy("c").agg(F.min("e").alias("e"))
+        mutual = best.groupBy("e").agg(F.min("c").alias("new"), F.max("c").alias("old")).filter("new <> old")
+        merged = spool.save(mutual.select("old", "new"))
+        moved = spool.save(home.join(merged, home["cluster"] == merged["old"], "left").select("id", F.coalesce("new", "cluster").alias("cluster"), "name"))
+        a = merged.select(F.col("old").alias("a"), F.col("new").alias("ta"))
+        b = merged.select(F.col("old").alias("b"), F.col("new").alias("tb"))
+        grown = merged.select(F.col("new").alias("g"))
+        turned = fitting.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y"), "e").filter("x <> y")
+        turned = turned.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("e").alias("e"))
+        turned = turned.join(grown.withColumnRenamed("g", "a").withColumn("ga", F.lit(True)), "a", "left").join(grown.withColumnRenamed("g", "b").withColumn("gb", F.lit(True)), "b", "left")
+        following = spool.save(turned.select("a", "b", "e", F.coalesce("ga", "gb", F.lit(False)).alias("fresh")))
+        spool.drop(live, fitting, home)
+        live, home = following, moved
+    return home.select("id", "cluster")
 
 
 def membership_churn(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from ledgerloom.sources.tables import table
 
 TRADE = ["EXCAVATING", "PAVING", "CRANE", "DRILLING", "DEMOLITION", "LOADER", "QUARRY"]
 SURNAMES = ["CRANE", "LOADER", "QUARRY"]
+#: What only firms write in their name, and families' ways of naming.
+FIRM, FAMILY = r"\b(?:INC|LLC|CORP|LTD|CO)\b", r"\b(?:BROS|BROTHERS|FAMILY)\b|& SONS?\b"
 CLASSES = {"earth": ["EXCAVATING", "DRILLING", "QUARRY"], "road": ["PAVING", "ASPHALT"], "building": ["ROOFING", "MASONRY", "CARPENTRY"]}
 
 
@@ -77,7 +79,7 @@ def rule_flags(spark: SparkSession, folder: str) -> DataFrame:
     n = table(spark, folder, "co_debtors").select("organizationname").distinct()
     name = F.col("organizationname")
     return n.select(
-        "organizationname", rules.has_word(name, TRADE).alias("plain"), rules.has_trade_word(name, TRADE, SURNAMES).alias("guarded"),
+        "organizationname", rules.has_word(name, TRADE).alias("plain"), rules.has_trade_word(name, TRADE, SURNAMES, r"\bPAVING STONE\b", FIRM, FAMILY).alias("guarded"),
         F.array_join(rules.word_classes(name, CLASSES), "+").alias("classes"),
     )
 
@@ -198,6 +200,16 @@ ORACLE = {
                coalesce(nullif(replace(regexp_extract(name_clean, '^[^ ]+ (.*)$', 1), ' ', ''), ''), ns) AS name_rest, CASE WHEN len(t) >= 2 THEN substr(t[1], 1, 4) || '|' || substr(t[2], 1, 4) END AS first2_4,
                substr(ns, 1, 12) AS desp12, nullif(array_to_string(sig, ' '), '') AS sig_full, nullif(array_to_string(sig4, ' '), '') AS sig4 FROM k""",
     "normal_texts": "SELECT DISTINCT debtor_nm_bus, " + _STRIP.format("debtor_nm_bus") + " AS norm_key, trim(regexp_replace(upper(debtor_nm_bus), '[\\s\\x{a0}\\x{2000}-\\x{200a}]+', ' ', 'g')) AS char_text FROM ct_filings WHERE debtor_nm_bus IS NOT NULL",
+    "rule_flags": rf"""
+        WITH n AS (SELECT DISTINCT upper(coalesce(organizationname, '')) AS u, organizationname FROM co_debtors),
+        h AS (SELECT *, regexp_extract_all(regexp_replace(u, '\bPAVING STONE\b', ' ', 'g'), '{_TRADE_SQL}', 1) AS hits, string_split(trim(regexp_replace(u, '[,.\s]+', ' ', 'g')), ' ') AS parts FROM n),
+        s AS (SELECT *, ['CRANE', 'LOADER', 'QUARRY'] AS risky FROM h)
+        SELECT organizationname, regexp_matches(u, '{_TRADE_SQL}') AS plain,
+               CASE WHEN len(hits) = 0 THEN false WHEN len(list_filter(hits, lambda x: NOT list_contains(risky, x))) > 0 THEN true WHEN regexp_matches(u, '\b(BROS|BROTHERS|FAMILY)\b|& SONS?\b') THEN false
+                    WHEN regexp_matches(u, '\b(INC|LLC|CORP|LTD|CO)\b') AND NOT list_contains(risky, parts[1]) THEN true
+                    ELSE len(list_filter(parts, lambda x: ends_with(x, 'S') AND NOT regexp_full_match(x, '{_TRADE_SQL}') AND NOT list_contains(risky, x))) > 0 END AS guarded,
+               array_to_string(list_filter([CASE WHEN regexp_matches(u, '\b(ROOFINGS?|MASONRYS?|CARPENTRYS?)\b') THEN 'building' END,
+               CASE WHEN regexp_matches(u, '\b(EXCAVATINGS?|DRILLINGS?|QUARRYS?)\b') THEN 'earth' END, CASE WHEN regexp_matches(u, '\b(PAVINGS?|ASPHALTS?)\b') THEN 'road' END], lambda x: x IS NOT NULL), '+') AS classes FROM s""",
     "rule_words": rf"""
         WITH n AS (SELECT DISTINCT upper(coalesce(organizationname, '')) AS u, organizationname FROM co_debtors)
         SELECT regexp_matches(u, '{_TRADE_SQL}') AS plain, array_to_string(list_filter([CASE WHEN regexp_matches(u, '\b(ROOFINGS?|MASONRYS?|CARPENTRYS?)\b') THEN 'building' END,
@@ -209,10 +221,10 @@ ORACLE = {
         SELECT CASE WHEN l AND b THEN 'both' WHEN l THEN 'lender' WHEN b THEN 'borrower' ELSE 'neither' END AS route, count(*) AS n FROM r GROUP BY 1""",
     "masked_names": rf"SELECT DISTINCT name_clean, trim(regexp_replace(regexp_replace(upper(name_clean), '{_TRADE_SQL}', ' ', 'g'), '\s+', ' ', 'g')) AS masked FROM corpus_debtors_eq WHERE name_clean IS NOT NULL",
     "edit_distance_pairs": f"""
-        WITH {_ZIPNAMES}, d AS (SELECT a, b, levenshtein(a, b) AS edits, greatest(length(a), length(b), 1) AS longest, least(length(a), length(b)) AS shortest,
-               CASE WHEN length(a) <= length(b) THEN starts_with(b, a) ELSE starts_with(a, b) END AS heads, list_distinct(string_split(a, ' ')) AS u, list_distinct(string_split(b, ' ')) AS v FROM p)
+        WITH {_ZIPNAMES}, d AS (SELECT a, b, levenshtein(a, b) AS edits, greatest(length(a), length(b), 1) AS longest, replace(a, ' ', '') AS x, replace(b, ' ', '') AS y, list_distinct(string_split(a, ' ')) AS u, list_distinct(string_split(b, ' ')) AS v FROM p)
         SELECT a, b, CAST(edits AS INTEGER) AS edits, round(1 - edits / longest, 6) AS ratio, round(len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))), 6) AS jaccard,
-               1 - edits / longest >= 0.72 OR (heads AND shortest >= 8 AND shortest / longest >= 0.4) AS coheres FROM d""",
+               a = b OR 1 - edits / longest >= 0.72 OR (length(x) >= 8 AND length(x) / length(y) >= 0.4 AND length(x) <= length(y) AND starts_with(y, x))
+                 OR (length(y) >= 8 AND length(y) / length(x) >= 0.4 AND length(y) <= length(x) AND starts_with(x, y)) AS coheres FROM d""",
     "jaro_winkler_pairs": f"WITH {_ZIPNAMES} SELECT a, b, round(jaro_winkler_similarity(a, b), 9) AS jw FROM p WHERE jaro_winkler_similarity(a, b) >= 0.7",
     "token_min_similarity": f"""
         WITH {_ZIPNAMES}, t AS (SELECT a, b, list_filter(string_split(a, ' '), lambda x: x <> '') AS u, list_filter(string_split(b, ' '), lambda x: x <> '') AS v FROM p),

@@ -95,12 +95,12 @@ def top_contributions(spark: SparkSession, folder: str) -> DataFrame:
 
 def events_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     """Hours of events as a stream."""
-    return ev.run_to_table(spark, ev.tumbling(ev.event_stream(spark, folder)))
+    return ev.run_to_table(spark, ev.tumbling(ev.event_stream(spark, folder)), "start", "event_type")
 
 
 def events_sliding(spark: SparkSession, folder: str) -> DataFrame:
     """Overlapping hours of events as a stream."""
-    return ev.run_to_table(spark, ev.sliding(ev.event_stream(spark, folder)))
+    return ev.run_to_table(spark, ev.sliding(ev.event_stream(spark, folder)), "start", "event_type")
 
 
 def events_session(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +111,7 @@ def events_session(spark: SparkSession, folder: str) -> DataFrame:
 def events_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Events without repeats, as a stream."""
     stream = ev.first_of_each(ev.event_stream(spark, folder), "event_id", late="3650 days").select("event_id", "user_id", "event_type", "value")
-    return ev.run_to_table(spark, stream, "append")
+    return ev.run_to_table(spark, stream)
 
 
 def source_manifest(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.spool import Spool, shared_folder
+from ledgerloom.plans.spool import Spool
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
@@ -43,30 +43,63 @@ def first_of_each(events: DataFrame, *keys: str, late: str = "1 day") -> DataFra
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys)) if events.isStreaming else events.dropDuplicates(list(keys))
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
+def run_to_table(spark: SparkSession, stream: DataFrame, *keys: str) -> DataFrame:
     """What a stream gives once all its files are read, as a table in the shared folder.
 
-    The offsets' checkpoint lies beside it, so a lost driver resumes where it stopped.
+    With ``keys`` the stream runs in update mode, so state behind the watermark is dropped, and the last update of
+    each key counts; without, rows are appended.  Every batch has a folder of its own that a replay overwrites,
+    and the offsets' checkpoint lies beside them, so a lost driver resumes where it stopped and doubles nothing.
     """
     spool = Spool(spark, "stream")
     target = f"{spool.root}/table"
     schema = stream.schema
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(target)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
+    mode = "update" if keys else "append"
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{spool.root}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(target)
-
+    rows = spark.read.schema(schema.add("batch", "long")).option("basePath", target).parquet(target)
+    if not keys:
+        return rows.drop("batch")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
+
+
+def incremental(
+    spark: SparkSession,
+    stream: DataFrame,
+    resolve: Callable[[DataFrame], DataFrame],
+    target: str,
+    key: str | None = None,
+    touched: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Resolve each arriving batch together with what is known, as ``foreachBatch``; returns the last resolution.
+
+    Rows are kept under ``target/rows/batch=N`` and resolutions under ``target/resolved/batch=N``, and the offsets
+    beside them.  A batch that is replayed, also by another process, finds what it found and overwrites its own.
+    ``touched`` picks from (known rows, batch) the known rows that the batch can change: only these are resolved
+    again, and what was found for the others, told apart by ``key``, is carried over.
+    """
 
-def incremental(spark: SparkSession, stream: DataFrame, resolve: Callable[[DataFrame], DataFrame], target: str) -> None:
-    """Resolve each arriving batch together with what is known, as ``foreachBatch``: known rows are read back from ``target``."""
+    def before(what: str, number: int | None = None) -> list[str]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{what}")
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        numbers = sorted(int(f.getPath().getName().partition("=")[2]) for f in files.listStatus(folder)) if files.exists(folder) else []
+        return [f"{target}/{what}/batch={n}" for n in numbers if number is None or n < number]
 
     def step(batch: DataFrame, number: int) -> None:
-        known = spark.read.schema(batch.schema).parquet(f"{target}/rows") if number else batch.limit(0)
-        resolve(known.unionByName(batch)).write.mode("overwrite").parquet(f"{target}/resolved")
-        batch.write.mode("append").parquet(f"{target}/rows")
-
-    offsets = f"{shared_folder(spark)}/incremental-{abs(hash(target))}"
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+        batch.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        batch = spark.read.schema(stream.schema).parquet(f"{target}/rows/batch={number}")
+        earlier, resolved = before("rows", number), before("resolved", number)
+        known = spark.read.schema(stream.schema).parquet(*earlier) if earlier else batch.limit(0)
+        again = touched(known, batch) if touched else known
+        out = resolve(again.unionByName(batch))
+        if touched and resolved:
+            fresh = again.select(key).unionByName(batch.select(key)).distinct()
+            out = out.unionByName(spark.read.parquet(resolved[-1]).join(fresh, key, "left_anti"))
+        out.write.mode("overwrite").parquet(f"{target}/resolved/batch={number}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{target}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(before("resolved")[-1])

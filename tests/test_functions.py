@@ -82,12 +82,21 @@ def test_rules(spark):
         "CRANEBROOK LLC": False, "CRANE ROBERT LLC": False, "MOD SQUAD DRILL TEAM": False, "ACME DRILL": True, None: False, "": False,
     }
     df = spark.createDataFrame([(k,) for k in want], "t string")
-    got = {r[0]: r[1] for r in df.select("t", rules.has_trade_word(F.col("t"), words, names, r"\bDRILLS?\s+TEAM\b")).collect()}
+    got = {r[0]: r[1] for r in df.select("t", rules.has_trade_word(F.col("t"), words, names, r"\bDRILLS?\s+TEAM\b", r"\b(?:INC|LLC)\b", r"& SON\b")).collect()}
     assert got == want
-    assert rules.forms("WRENCH") == ["WRENCH", "WRENCHS", "WRENCHES"] and rules.forms("BUS") == ["BUS"]
+    plurals = spark.createDataFrame([("WRENCHES",), ("WRENCHS",), ("BUS",), ("BUSS",)], "t string").select(rules.has_word(F.col("t"), ["WRENCH", "BUS"]))
+    assert [r[0] for r in plurals.collect()] == [True, True, True, False]
     assert df.select(rules.mask(F.lit("ACME  CRANES paving co"), words)).first()[0] == "ACME CO"
 
 
+def test_coherence(spark):
+    want = {("WESTERN CLEAN UP", "WESTERN CLEANUP CORPERATION"): True, ("COOPERS CONST", "COOPERS CONSTRUCTION"): True, ("ACE", "ACE HARDWARE"): False,
+            ("SMITH PAVING", "SMYTH PAVING"): True, ("", ""): True, ("A B", "ZETA"): False, ("ABCDEFGH", "ABCDEFGH IJKLMNOPQRSTU"): False}
+    df = spark.createDataFrame(list(want), "a string, b string")
+    assert {(r[0], r[1]): r[2] for r in df.select("a", "b", coherent(F.col("a"), F.col("b"))).collect()} == want
+    assert [r[0] for r in df.select(coherent(F.col("b"), F.col("a"))).collect()] == list(want.values())
+
+
 def test_jaro_winkler(spark):
     assert jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.9611, abs=1e-4)
     assert jaro_winkler("SCHULTE MARY J", "SCHULTE ALLEN J") == pytest.approx(0.9038, abs=1e-4)

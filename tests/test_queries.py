@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import gzip
 import os
+import subprocess
 import sys
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
 
+from ledgerloom.plans.spool import Spool
 from ledgerloom.queries import catalogue
 from ledgerloom.sources import documents, files
 from ledgerloom.streaming import events as ev
 
-SLOW = {"cluster_map", "cluster_summary", "events_tumbling", "events_sliding", "fs_weights", "fs_weights_tf"}
-
-
 @pytest.fixture(scope="module")
 def duck(folder):
     duckdb = pytest.importorskip("duckdb")
@@ -30,7 +29,7 @@ def _norm(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_its_sql(spark, folder, duck, name):
     got = catalogue.queries()[name](spark, folder)
     columns = sorted(got.columns)
@@ -111,13 +110,55 @@ def test_export_and_manifest(spark, tmp_path):
         files.view_document(df, "v", 1)
 
 
+STEP = """
+import sys
+sys.path.insert(0, sys.argv[3])
+from pyspark.sql import functions as F
+from ledgerloom.session import local_session
+from ledgerloom.streaming import events as ev
+spark = local_session(2, 2, "1g")
+stream = spark.readStream.schema("k int, v string").parquet(sys.argv[1])
+ev.incremental(spark, stream, lambda d: d.groupBy("k").agg(F.max("v").alias("v"), F.count("*").alias("n")), sys.argv[2])
+"""
+
+
 def test_incremental_resolution(spark, tmp_path):
-    source = tmp_path / "in"
-    for day, rows in enumerate([[(1, "a"), (2, "b")], [(2, "c")]]):
-        spark.createDataFrame(rows, "k int, v string").coalesce(1).write.mode("append").parquet(str(source))
+    source, state = tmp_path / "in", str(tmp_path / "state")
+    resolve = lambda d: d.groupBy("k").agg(F.max("v").alias("v"), F.count("*").alias("n"))
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), "k int, v string").coalesce(1).write.mode("append").parquet(str(source))
+
+    def go(**how):
         stream = spark.readStream.schema("k int, v string").parquet(str(source))
-        ev.incremental(spark, stream, lambda d: d.groupBy("k").agg(F.max("v").alias("v")), str(tmp_path / "state"))
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "state" / "resolved")).collect()} == {(1, "a"), (2, "c")}
+        return {tuple(r) for r in ev.incremental(spark, stream, resolve, state, **how).collect()}
+
+    arrive((1, "a"), (2, "b"))
+    assert go() == {(1, "a", 1), (2, "b", 1)}
+    arrive((2, "c"))
+    # Another process picks up where this one stopped, and doubles nothing.
+    subprocess.run([sys.executable, "-c", STEP, str(source), state, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))], check=True, timeout=120, capture_output=True)
+    assert go() == {(1, "a", 1), (2, "c", 2)}
+    arrive((3, "d"), (1, "0"))
+    seen = []
+
+    def touched(known, batch):
+        out = known.join(batch.select("k").distinct(), "k", "left_semi")
+        seen.append(out.count())
+        return out
+
+    assert go(key="k", touched=touched) == {(1, "a", 2), (2, "c", 2), (3, "d", 1)} and seen == [1]
+
+
+def test_spooled_tables_are_broadcast_only_if_small(spark):
+    spool = Spool(spark, "test")
+    small = spool.save(spark.range(10).selectExpr("id", "repeat('x', 100) AS s"))
+    large = spool.save(spark.range(60_000).selectExpr("id", "repeat('x', 100) AS s"))
+    assert (small.spool_rows, large.spool_rows, spool.save(small.limit(0)).spool_rows) == (10, -1, 0)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(spark.range(5_000_000).join(large.groupBy("id").count(), "id"))
+    assert "BroadcastHashJoin" in plan(spark.range(5_000_000).join(small, "id"))
+    spool.clear()
 
 
 def test_blocked_joins_stay_equi_joins(spark, folder):
