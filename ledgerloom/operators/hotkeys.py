@@ -1,10 +1,11 @@
 """Per-key results where a few keys hold most of the rows.
 
 ``key_middle`` finds, for each key, the value at a rank among the key's distinct values.  It never sorts
-or gathers the values of a key: it counts them in histograms over string prefixes, keeps the one bucket
+or gathers the values of a key: it counts them in histograms over prefixes of their bytes, keeps the one bucket
 that holds the rank, and refines that bucket until the rank is resolved.  Histograms are grouped by
 (key, bucket) with partial counts on the map side, so a key with a third of all rows costs each task
-only its share.
+only its share; and a round adds WIDTH bytes to a prefix, so a key has at most 256 ** WIDTH buckets and as
+many again of values that end there, however many values it has.
 """
 
 from __future__ import annotations
@@ -15,23 +16,25 @@ from pyspark.sql import functions as F
 from ledgerloom.plans.spool import Spool
 
 
-def common_prefix_length(a: Column, b: Column) -> Column:
-    """Characters that two strings have in common at their start."""
-    n = F.least(F.length(a), F.length(b))
-    spots = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)),
-    )
-    return F.when(n < 1, F.lit(0)).when(F.size(spots) > 0, spots[0] - 1).otherwise(n)
+#: Bytes by which a round refines a bucket.
+WIDTH = 2
+
+
+def common_bytes(a: Column, b: Column) -> Column:
+    """Bytes that two different binary values have in common at their start."""
+    x, y = F.hex(a), F.hex(b)
+    spots = F.filter(F.sequence(F.lit(1), F.least(F.length(x), F.length(y))), lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
+    short = F.least(F.length(x), F.length(y))
+    return F.floor(F.when(short < 1, F.lit(0)).when(F.size(spots) > 0, spots[0] - 1).otherwise(short) / 2).cast("int")
 
 
-def key_middle(spark: SparkSession, df: DataFrame, key: str, value: str, width: int = 4) -> DataFrame:
+def key_middle(spark: SparkSession, df: DataFrame, key: str, value: str, width: int = WIDTH) -> DataFrame:
     """(key, n_rows, n_values, middle): rows, distinct non-null values, and the lower middle value of each key.
 
     ``middle`` is the value at position (n_values + 1) / 2, rounded down, of the distinct non-null values
     in byte order, and null where a key has none.  Rows with a null key give no result; an empty string is
     a key like any other.  Ties cannot arise, since only distinct values are ranked.  An empty table gives
-    no rows.  ``width`` is the number of characters by which a round refines a bucket.
+    no rows.  ``width`` is the number of bytes by which a round refines a bucket.
     """
     spool = Spool(spark, "key_middle")
     pairs = spool.save(
@@ -46,8 +49,9 @@ def key_middle(spark: SparkSession, df: DataFrame, key: str, value: str, width:
         )
     )
     ranks = totals.filter("n_values > 0").select("k", ((F.col("n_values") + 1) / 2).cast("long").alias("rank"))
-    # The first look needs no join: every value counts, and buckets are the first few characters.
-    looked = pairs.filter(F.col("v").isNotNull()).select("k", "v", F.substring("v", 1, width).alias("b"))
+    # The first look needs no join: every value counts, and buckets are the first few bytes.
+    looked = pairs.filter(F.col("v").isNotNull()).select("k", F.col("v").cast("binary").alias("v"))
+    looked = looked.select("k", "v", F.substring("v", 1, width).alias("b"))
     found: list[DataFrame] = []
     previous: list[DataFrame] = []
     while True:
@@ -61,10 +65,10 @@ def key_middle(spark: SparkSession, df: DataFrame, key: str, value: str, width:
         )
         # The first and the last value of a bucket are known without a further look.
         edge = (F.col("rank") == 1) | (F.col("rank") == F.col("c"))
-        found.append(chosen.filter(edge).select("k", F.when(F.col("rank") == 1, F.col("lo")).otherwise(F.col("hi")).alias("middle")))
+        found.append(chosen.filter(edge).select("k", F.when(F.col("rank") == 1, F.col("lo")).otherwise(F.col("hi")).cast("string").alias("middle")))
         # A bucket is refined beyond what all its values share.
         left = chosen.filter(~edge).select(
-            "k", "rank", "lo", "hi", (common_prefix_length(F.col("lo"), F.col("hi")) + width).alias("cut")
+            "k", "rank", "lo", "hi", (common_bytes(F.col("lo"), F.col("hi")) + width).alias("cut")
         )
         if left.isEmpty():
             break
