@@ -2,20 +2,22 @@
 
 Addresses are read into parts, spellings that read alike are one case, and cases become candidates by MinHash
 banding over shingles: the tokens and the q-grams of the street's name, each under its house number, since no
-other number can be the same place.  A candidate is verified by affine-gap alignment of its tokens, in which
-abbreviations cost nothing, typing errors little, and another number, street type or side too much.
+other number can be the same place.  A candidate is verified by affine-gap alignment of its tokens, whose
+substitution costs look words up in abbreviation dictionaries: an abbreviation costs next to nothing, a typing
+error little, and another number, street type or side too much.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import star_components
@@ -86,6 +88,39 @@ TOWNS = _table("""
     CENTER: CTR
     CITY: CTY
 """)
+# Abbreviations within the names of streets.
+NAMES = _table("""
+    MOUNT: MT
+    MOUNTAIN: MTN MNTN
+    FORT: FT
+    SAINT: ST
+    VALLEY: VLY
+    CREEK: CRK CK
+    LAKE: LK
+    LAKES: LKS
+    RIVER: RIV RVR
+    HILL: HL
+    HILLS: HLS
+    HEIGHTS: HTS HGTS
+    SPRING: SPG
+    SPRINGS: SPGS SPRGS
+    MEADOW: MDW
+    MEADOWS: MDWS
+    CANYON: CYN CANYN
+    VIEW: VW
+    VILLAGE: VLG VILL
+    CENTER: CTR CENTRE CNTR
+    JUNCTION: JCT JCTN
+    INDUSTRIAL: IND INDL INDUS
+    MEMORIAL: MEM MEML
+    RANCH: RNCH
+    GARDEN: GDN
+    GARDENS: GDNS
+    ORCHARD: ORCH
+    POINT: PT
+    PARK: PK PRK
+""")
+NUMBERS = {w: str(i) for i, w in enumerate("ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE".split(), 1)}
 ORDINALS = {
     w: str(i)
     for i, w in enumerate(
@@ -94,12 +129,15 @@ ORDINALS = {
         1,
     )
 }
-PLACEHOLDERS = {"", "NONE", "UNKNOWN", "NA", "N A", "SEE ATTACHED", "VARIOUS", "XX", "ADDRESS UNKNOWN", "NULL", "SAME", "TBD"}
+PLACEHOLDERS = {"", "NONE", "UNKNOWN", "NA", "N A", "SEE ATTACHED", "VARIOUS", "XX", "ADDRESS UNKNOWN", "NULL", "SAME", "TBD",
+                "NO ADDRESS", "NOT PROVIDED", "NOT AVAILABLE", "NONE GIVEN", "GENERAL DELIVERY"}
 CARE_OF = {"ATTN", "ATTENTION", "ACCOUNTS", "PAYABLE", "OFFICE", "MGR", "MANAGER", "DEPT", "DEPARTMENT", "C/O"}
 COUNTY = re.compile(r"\b(?:(?:COUNTY|CNTY|CTY|CO) (?:ROAD|RD)|CR) (\d+)\b")
 HIGHWAY = re.compile(r"\b(?:(?:(?:STATE|ST|US|U S) )?(?:HIGHWAY|HWY|ROUTE|RTE)|SH|SR) (\d+)\b")
 BOX = re.compile(r"\b(?:BOX|POB|DRAWER) (?:# )?(?:NO )?(\d+)\b")
 ORDINAL = re.compile(r"(\d+)(?:ST|ND|RD|TH)")
+#: A house number with its letter or its grid: 123, 123A, N6W23001.
+HOUSE = re.compile(r"\d+[A-Z]?|[NSEW]\d+[NSEW]\d+")
 
 
 class Place(NamedTuple):
@@ -132,7 +170,10 @@ def town(text: str | None) -> str:
 
 
 def read_address(street: str | None, city: str | None, code: str | None) -> Place | None:
-    """The parts of an address; None for placeholders and for addresses without number or name."""
+    """The parts of an address; None for placeholders, for boxes without number, and where nothing but a number or only a street is given.
+
+    A street without house number is a place of its own if a town or ZIP is given.
+    """
     words = plain((street or "").upper().replace("C/O", " ATTN "))
     if " ".join(words) in PLACEHOLDERS:
         return None
@@ -162,11 +203,14 @@ def read_address(street: str | None, city: str | None, code: str | None) -> Plac
         else:
             rest.append(words[i])
             i += 1
-    if rest and rest[0].isdigit():
+    number = ""
+    if rest and HOUSE.fullmatch(rest[0]):
         number, rest = rest[0], rest[1:]
-    elif rest and rest[-1].isdigit():
+    elif rest and HOUSE.fullmatch(rest[-1]):
         number, rest = rest[-1], rest[:-1]
-    else:
+    elif len(rest) > 2 and rest[0] in NUMBERS:
+        number, rest = NUMBERS[rest[0]], rest[1:]
+    elif not any(where):
         return None
     side = kind = ""
     if name:
@@ -180,26 +224,32 @@ def read_address(street: str | None, city: str | None, code: str | None) -> Plac
             kind, rest = TYPES[rest[-1]], rest[:-1]
         if len(rest) > 1 and rest[-1] in SIDES:
             side, rest = side or SIDES[rest[-1]], rest[:-1]
-        name = "".join(rest)
-        if ordinal := ORDINAL.fullmatch(name):
+        name, joined = " ".join(rest), "".join(rest)
+        if ordinal := ORDINAL.fullmatch(joined):
             name = "#" + ordinal[1]
-        elif name in ORDINALS:
-            name = "#" + ORDINALS[name]
-        elif name.isdigit():
-            name = "#" + name
+        elif joined in ORDINALS:
+            name = "#" + ORDINALS[joined]
+        elif joined.isdigit():
+            name = "#" + joined
     if not name:
         return None
-    return Place(number.lstrip("0") or "0", side, name, kind, unit, *where)
+    return Place(number and (number.lstrip("0") or "0"), side, name, kind, unit, *where)
+
+
+@lru_cache(maxsize=100_000)
+def written_out(name: str) -> str:
+    """A street's name in one word, its abbreviations written out."""
+    return name if name[0] == "#" else "".join(NAMES.get(w, w) for w in name.split())
 
 
 #: Costs of an alignment; a candidate is the same place below LIMIT.  NEVER forbids a step.
 NEVER, LIMIT = 100.0, 3.0
 OPEN = {"side": 0.6, "kind": 0.6, "unit": 0.4, "town": 0.8}
-EXTEND, EDIT = 0.2, 0.7
+EXTEND, EDIT, ABBREVIATED = 0.2, 0.7, 0.05
 
 
 def _tokens(p: Place) -> list[tuple[str, str | tuple[str, str]]]:
-    out: list = [("number", p.number)]
+    out: list = [("number", p.number)] if p.number else []
     out += [("side", p.side)] if p.side else []
     out.append(("name", p.name))
     out += [("kind", p.kind)] if p.kind else []
@@ -223,10 +273,12 @@ def _substitution(x: tuple, y: tuple) -> float:
     if x[1] == y[1]:
         return 0.0
     if x[0] == "name" and x[1][0] != "#" and y[1][0] != "#":
-        long = max(len(x[1]), len(y[1]))
+        # Two names that differ as typed, and not once written out, differ by abbreviations or spaces alone.
+        a, b = written_out(x[1]), written_out(y[1])
+        long = max(len(a), len(b))
         most = 1 if long <= 4 else 2 if long <= 9 else 3
-        d = distance(x[1], y[1], most)
-        return EDIT * d if d <= most else NEVER
+        d = distance(a, b, most)
+        return (EDIT * d or ABBREVIATED) if d <= most else NEVER
     return NEVER
 
 
@@ -261,8 +313,9 @@ def shingles(p: Place) -> list[str]:
     """Token and q-gram shingles of an address, each under its number."""
     if p.name[0] == "#":
         return [f"{p.number}|{p.name}"]
-    framed = f"^{p.name}$"
-    return [f"{p.number}|{p.name}", *{f"{p.number}|{framed[i : i + 2]}" for i in range(len(framed) - 1)}]
+    name = written_out(p.name)
+    framed = f"^{name}$"
+    return [f"{p.number}|{name}", *{f"{p.number}|{framed[i : i + 2]}" for i in range(len(framed) - 1)}]
 
 
 def bands(places: list[Place]) -> np.ndarray:
@@ -296,9 +349,10 @@ def read_places(df: DataFrame, key: str, street: str, city: str, code: str) -> D
             rows = [(k, p) for k, s, c, z in zip(*columns) if (p := read_address(s, c, z)) is not None]
             arrays = [pa.array([r[0] for r in rows], pa.string())]
             arrays += [pa.array([r[1][i] for r in rows], pa.string()) for i in range(len(_PARTS))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", *_PARTS])
+            arrays.append(pa.array([written_out(r[1].name) for r in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", *_PARTS, "flat"])
 
-    return df.select(F.col(key).cast("string"), street, city, code).mapInArrow(parse, f"key string, {PLACE}")
+    return df.select(F.col(key).cast("string"), street, city, code).mapInArrow(parse, f"key string, {PLACE}, flat string")
 
 
 #: A ZIP's town is the one that at least this many of its addresses give, and this share of those that give any.
@@ -342,8 +396,9 @@ def _candidates(cases: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, cases: DataFrame) -> DataFrame:
     """The candidate pairs whose alignment costs less than LIMIT."""
-    left = cases.select(F.col("id").alias("a"), *[F.col(c).alias(f"l_{c}") for c in _PARTS])
-    right = cases.select(F.col("id").alias("b"), *[F.col(c).alias(f"r_{c}") for c in _PARTS])
+    parts = [*_PARTS, "flat"]
+    left = cases.select(F.col("id").alias("a"), *[F.col(c).alias(f"l_{c}") for c in parts])
+    right = cases.select(F.col("id").alias("b"), *[F.col(c).alias(f"r_{c}") for c in parts])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,8 +407,18 @@ def _verified(pairs: DataFrame, cases: DataFrame) -> DataFrame:
             good = [alignment_cost(Place(*row[:n]), Place(*row[n:])) < LIMIT for row in zip(*columns)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    wide = pairs.join(left, "a").join(right, "b").select("a", "b", *[f"l_{c}" for c in _PARTS], *[f"r_{c}" for c in _PARTS])
-    return wide.mapInArrow(check, "a long, b long")
+    def given(part: str) -> Column:
+        return (F.col(f"l_{part}") == F.col(f"r_{part}")) | (F.col(f"l_{part}") == "") | (F.col(f"r_{part}") == "")
+
+    def near(part: str) -> Column:
+        return F.levenshtein(f"l_{part}", f"r_{part}", 2 * 3) >= 0
+
+    # What no alignment accepts is dropped in generated code: three edits at most, of which a swap counts as two here.
+    numbered = F.col("l_name").startswith("#") | F.col("r_name").startswith("#")
+    spelt = F.when(numbered, F.col("l_name") == F.col("r_name")).otherwise(near("flat"))
+    town = (F.col("l_city") == "") | (F.col("r_city") == "") | near("city")
+    wide = pairs.join(left, "a").join(right, "b").filter((F.col("l_number") == F.col("r_number")) & given("side") & given("kind") & given("unit") & spelt & town)
+    return wide.select("a", "b", *[f"l_{c}" for c in _PARTS], *[f"r_{c}" for c in _PARTS]).mapInArrow(check, "a long, b long")
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -371,25 +436,35 @@ def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return within.union(across).distinct()
 
 
-def same_place(spark: SparkSession, records: DataFrame) -> DataFrame:
-    """(rec_a, rec_b) for each pair of different keys whose addresses mean the same place.
+def place_links(spark: SparkSession, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, id), (a, b)): the cases that each record's address reads as, and the pairs of cases that are one place, each once.
 
     ``records`` is (key, street, city, code).  A unit, side, street type, town or ZIP given by one of the two
     only, misspelt words and abbreviations make no other place; another number, street, street type, side or
-    town does.  Nulls, placeholders, boxes without a number and addresses without a house number make no case.
-    Copies of an address are compared once, and a key with several addresses is paired by any of them.
+    town does.  Nulls, placeholders and boxes without a number make no case, nor does a street without number,
+    town and ZIP.  Copies of an address are one case and are compared once.
 
-    A missing town is that of the ZIP, as most addresses of the ZIP give it.  Verified candidates are closed over groups by large-star small-star, and each pair of a group's cases is
-    verified in turn, so that a record without a side joins neither of two sides to the other.
+    A missing town is that of the ZIP, as most addresses of the ZIP give it.  Verified candidates are closed over
+    groups by large-star small-star, and each pair of a group's cases is verified in turn, so that a record
+    without a side joins neither of two sides to the other.
     """
     spool = Spool(spark, "places")
     read = with_towns(spool.save(read_places(records, "key", "street", "city", "code")))
-    read = spool.save(read.select("key", F.xxhash64(*_PARTS).alias("id"), *_PARTS))
+    read = spool.save(read.select("key", F.xxhash64(*_PARTS).alias("id"), *_PARTS, "flat"))
     cases = spool.save(read.drop("key").dropDuplicates(["id"]))
     links = spool.save(_verified(_candidates(cases), cases))
-    groups = spool.save(star_components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    left = groups.select("component", F.col("id").alias("a"))
-    right = groups.select("component", F.col("id").alias("b"))
-    open_pairs = left.join(right, "component").filter("a < b").select("a", "b").join(links, ["a", "b"], "left_anti")
-    more = _verified(open_pairs, cases)
-    return record_pairs(read.select("key", "id"), links.union(more))
+    groups = star_components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # The members of a group that could meet agree in what no alignment lets differ.
+    groups = spool.save(groups.join(cases.select("id", "number", F.when(F.col("name").startswith("#"), F.col("name")).otherwise("").alias("fixed")), "id"))
+    left = groups.select("component", "number", "fixed", F.col("id").alias("a"))
+    right = groups.select("component", "number", "fixed", F.col("id").alias("b"))
+    open_pairs = left.join(right, ["component", "number", "fixed"]).filter("a < b").select("a", "b").join(links, ["a", "b"], "left_anti")
+    return read.select("key", "id"), links.union(_verified(open_pairs, cases))
+
+
+def same_place(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """(rec_a, rec_b) for each pair of different keys whose addresses mean the same place, as ``place_links`` finds them.
+
+    A key with several addresses is paired by any of them; an empty table gives no rows.
+    """
+    return record_pairs(*place_links(spark, records))

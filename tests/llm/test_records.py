@@ -8,7 +8,7 @@ import re
 
 import pyarrow as pa
 
-from ledgerloom.llm.addresses import LIMIT, Place, alignment_cost, read_address, same_place
+from ledgerloom.llm.addresses import ABBREVIATED, LIMIT, Place, alignment_cost, read_address, same_place
 from ledgerloom.llm.formatting import collapse, column_hashes, same_field, same_in_order
 from ledgerloom.llm.names import Vocabulary, average_linkage, name_words, read_name, same_name, same_spelling
 from ledgerloom.llm.spelling import distance
@@ -153,8 +153,24 @@ def test_addresses_are_read_alike():
         read = [read_address(s, "Bovil Hts", "06512-1234") for s in spellings]
         assert all(alignment_cost(read[0], r) < LIMIT for r in read), read
         assert all(r.city == "BOVILHEIGHTS" and r.zip == "06512" for r in read)
-    for blank in (None, "", "N/A", "VARIOUS", "XX", "PO BOX", "See attached", "MAIN STREET"):
+    for blank in (None, "", "N/A", "VARIOUS", "XX", "PO BOX", "See attached", "GENERAL DELIVERY"):
         assert read_address(blank, "A", "80000") is None
+    assert read_address("MAIN STREET", None, None) is None
+
+
+def test_numbers_that_are_not_all_digits_and_streets_without_any():
+    read = lambda s: read_address(s, "Bovil", "06512")
+    assert [read(s).number for s in ("123A MAIN ST", "12B OAK AVE", "N6W23001 BLUEMOUND RD", "ONE MAIN ST", "MAIN ST 123A", "MAIN STREET")] == ["123A", "12B", "N6W23001", "1", "123A", ""]
+    same = lambda a, b: alignment_cost(read(a), read(b)) < LIMIT
+    assert same("One Main Street", "1 MAIN ST") and same("N6W23001 Bluemound Road", "N6W23001 BLUEMUOND RD") and same("MAIN STREET", "Main St.")
+    assert not same("123A MAIN ST", "123B MAIN ST") and not same("123 MAIN ST", "MAIN ST") and not same("8TH ST", "9TH ST")
+
+
+def test_abbreviations_are_in_the_costs():
+    read = lambda s: read_address(s, "Bovil", "06512")
+    for short, full in (("12 MT VIEW RD", "12 Mount View Rd"), ("9 Ft Lupton Ave", "9 FORT LUPTON AVE"), ("4 ST VRAIN DR", "4 SAINT VRAIN DR"), ("7 IND PK RD", "7 INDUSTRIAL PARK RD")):
+        assert read(short).name != read(full).name and alignment_cost(read(short), read(full)) == ABBREVIATED
+    assert alignment_cost(read("12 MT VIEW RD"), read("12 LAKE VIEW RD")) >= LIMIT
 
 
 def test_other_places():
@@ -171,10 +187,12 @@ def test_same_place_pairs(spark):
         ("a1", "12 N Tajofos Dr", "Bovil", "80001"), ("a2", "12 TAJOFOS DRIVE", "BOVIL", None), ("a3", "12 N Tajofso Dr Apt 4", None, "80001"),
         ("b1", "12 S Tajofos Dr", "Bovil", "80001"), ("c1", "12 N Tajofos Dr", "Krumel", "80555"), ("d1", "PO BOX 9", "Bovil", "80001"),
         ("d2", "P.O. Box 9", "BOVIL", "80001"), ("e1", None, "Bovil", "80001"), ("e2", "NONE", "Bovil", "80001"), ("e3", "NONE", "Bovil", "80001"),
+        ("f1", "123A Oak Ave", "Bovil", "80001"), ("f2", "123A OAK AVENUE", "BOVIL", "80001"), ("f3", "123B Oak Ave", "Bovil", "80001"), ("g1", "Mt Tajofos Rd", "Bovil", None), ("g2", "MOUNT TAJOFOS ROAD", "BOVIL", "80001"),
         ("a1", "12 N Tajofos Dr", "Bovil", "80001"),
     ]
     got = {tuple(r) for r in same_place(spark, spark.createDataFrame(rows, "key string, street string, city string, code string")).collect()}
-    assert {("a1", "a2"), ("a1", "a3"), ("a2", "a3"), ("d1", "d2")} <= got
+    assert {("a1", "a2"), ("a1", "a3"), ("a2", "a3"), ("d1", "d2"), ("f1", "f2"), ("g1", "g2")} <= got
+    assert not any("f3" in pair for pair in got)
     assert not got & {("a1", "b1"), ("a1", "c1"), ("b1", "c1"), ("e2", "e3"), ("a3", "b1")}
     assert same_place(spark, spark.createDataFrame([], "key string, street string, city string, code string")).count() == 0
 
