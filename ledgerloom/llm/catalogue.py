@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.addresses import same_place
 from ledgerloom.llm.formatting import collapse
-from ledgerloom.llm.leaks import leaks
+from ledgerloom.llm.leaks import leaks, without_leaks
 from ledgerloom.llm.linked import group_pairs
 from ledgerloom.llm.names import same_name
 from ledgerloom.llm.quality import corpus_stats, not_prose
@@ -85,9 +85,20 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage of a held-out item."""
+    return p9_matches(spark, folder).select("doc_id", "item_id")
+
+
+def p9_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaks with the longest verbatim match of each: its words and where it begins in the item and in the document."""
     return leaks(spark, table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that remain once those that leak are removed."""
+    documents = table(spark, folder, "documents")
+    return without_leaks(documents, "doc_id", p9_found(spark, folder)).select("doc_id", "text")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are lists, tables or junk."""
     return not_prose(table(spark, folder, "documents"), "doc_id", "text")
@@ -100,7 +111,7 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     """Name -> callable."""
-    return {"p1_found": p1_found, "p2_sample": p2_sample, "p3_found": p3_found, "p4_splits": p4_splits, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found,
+    return {"p1_found": p1_found, "p2_sample": p2_sample, "p3_found": p3_found, "p4_splits": p4_splits, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean,
         "p10_found": p10_found, "p10_stats": p10_stats,
     }
 

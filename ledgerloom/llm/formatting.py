@@ -1,9 +1,10 @@
 """Problem 7: rows that differ only in formatting, collapsed and counted.
 
-A scan streams the code points of each Arrow column through one lookup table that skips white space and
-punctuation and folds letter case, straight from the column's buffer, into polynomial hashes; no canonical
-string is ever made.  Rows whose hashes agree are then verified against one row of their bucket by a
-two-pointer comparison that skips in the same way.
+A scan streams the code points of each Arrow column, a window at a time, through one lookup table that skips
+white space and punctuation and folds letter case, into rolling polynomial hashes: one over a value in its
+order and one over each of its words.  No canonical string is ever made.  Values are alike if either hash
+agrees, rows if all their values are; they are then verified against one row of their bucket by a two-pointer
+comparison that skips in the same way.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ledgerloom.llm.components import star_components
 from ledgerloom.plans.spool import Spool
 
 #: Multipliers of the polynomial and of the final mixing: odd 64-bit numbers.
@@ -54,55 +55,96 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, BASE, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
+#: Code points that stream through the table at a time.
+WINDOW = 1 << 16
 
 
-def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums modulo 2**64 of values between successive bounds."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(values, dtype=np.uint64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+class _Powers:
+    """Powers of BASE modulo 2**64, made as far as they are asked for."""
+
+    def __init__(self) -> None:
+        self.known = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if n > len(self.known):
+            out = np.full(max(n, 2 * len(self.known)), BASE, np.uint64)
+            out[0] = 1
+            self.known = np.multiply.accumulate(out, dtype=np.uint64)
+        return self.known
+
+
+_powers = _Powers()
+
+
+def _add(total: np.ndarray, owner: np.ndarray, terms: np.ndarray) -> None:
+    """``total[owner] += terms`` for owners in ascending order, modulo 2**64."""
+    if len(owner):
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        total[owner[first]] += np.add.reduceat(terms, first)
 
 
 def column_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Three hashes of each value of a string column.
 
     The first is a polynomial over the kept characters in their order, so white space inside a word does not
-    matter; the second is the sum of the words' polynomials, so the order of the words does not matter; the
-    third sums the characters' own terms, the degree-0 polynomial, which is equal wherever either of the
-    others is.  Null has hashes of its own; an empty value hashes to the mixed zero.
+    matter; the second is the sum of the words' polynomials, so the order of the words does not matter; both are
+    one for a value of one word.  The third sums the characters' own terms, the polynomial of degree 0: it
+    agrees wherever either of the others does.  Null has hashes of its own.
+
+    Characters roll by in windows; the places reached in the open value and word are carried on from one window
+    to the next, so a value may be of any length.
     """
     n = len(column)
     texts = column.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
-    raw = bytes(texts.buffers()[2][offsets[0] : offsets[-1]]) if n and texts.buffers()[2] is not None else b""
-    data = np.frombuffer(raw, np.uint8)
-    points = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)])
-    bounds = starts[offsets - offsets[0]]
-    folded = fold_table()[points]
-    kept = folded != 0
-    rank = np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])
-    codes, edges = folded[kept].astype(np.uint64), rank[bounds]
-    lengths = edges[1:] - edges[:-1]
-    # Every kept character knows its place in its value and in its word.
-    place = np.arange(len(codes)) - np.repeat(edges[:-1], lengths)
-    gap = np.concatenate([np.zeros(1, np.int64), np.cumsum(space_table()[points])])[:-1][kept]
-    opens = np.ones(len(codes), bool)
-    if len(codes) > 1:
-        opens[1:] = (gap[1:] != gap[:-1]) | (place[1:] == 0)
-    first = np.flatnonzero(opens)
-    word_edges = np.append(first, len(codes))
-    in_word = np.arange(len(codes)) - np.repeat(first, np.diff(word_edges))
-    powers = _powers(int(lengths.max(initial=0)) + 1)
-    ordered = _mixed(_sums(codes * powers[place], edges) + lengths.astype(np.uint64))
-    words = _mixed(_sums(codes * powers[in_word], word_edges)) if len(first) else np.zeros(0, np.uint64)
-    words_before = np.concatenate([np.zeros(1, np.int64), np.cumsum(opens)])[edges]
-    by_word = _mixed(_sums(words, words_before))
-    by_letter = _mixed(_sums(_mixed(codes * np.uint64(BASE)), edges))
+    raw = memoryview(texts.buffers()[2])[offsets[0] : offsets[-1]] if n and texts.buffers()[2] is not None else b""
+    data, offsets = np.frombuffer(raw, np.uint8), offsets - offsets[0]
+    table, spaces = fold_table(), space_table()
+    ordered, by_word, by_letter = (np.zeros(n, np.uint64) for _ in range(3))
+    length = np.zeros(n, np.int64)
+    # What is carried over: the open value, how many characters it and its open word have kept, that word's hash,
+    # and whether white space came last.
+    value, kept_in_value, kept_in_word, open_word, after_gap = -1, 0, 0, np.uint64(0), False
+    at = 0
+    while at < len(data):
+        end = min(at + WINDOW, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        points = np.frombuffer(bytes(data[at:end]).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        leads = np.flatnonzero((data[at:end] & 0xC0) != 0x80)
+        owner = np.searchsorted(offsets, leads + at, side="right") - 1
+        terms = table[points].astype(np.uint64)
+        keep = (terms != 0).astype(np.int64)
+        before = np.cumsum(keep) - keep
+        # Places in the value: kept characters since it began, here or in an earlier window.
+        opens = np.concatenate([[owner[0] != value], owner[1:] != owner[:-1]])
+        begins = np.maximum.accumulate(np.where(opens, np.arange(len(owner)), 0))
+        place = before - before[begins] + np.where(owner == value, kept_in_value, 0) * (begins == 0)
+        gap = spaces[points]
+        breaks = opens | np.concatenate([[after_gap], gap[:-1]])
+        word_begins = np.maximum.accumulate(np.where(breaks, np.arange(len(owner)), 0))
+        carried = (word_begins == 0) & ~breaks[0]
+        in_word = before - before[word_begins] + np.where(carried, kept_in_word, 0)
+        powers = _powers.upto(int(place.max(initial=0)) + 2)
+        _add(ordered, owner, terms * powers[place])
+        _add(by_letter, owner, np.where(keep == 1, _mixed(terms * np.uint64(BASE)), np.uint64(0)))
+        heads = np.flatnonzero(opens | (np.arange(len(owner)) == 0))
+        length[owner[heads]] += np.add.reduceat(keep, heads)
+        # Words end where the next one begins; the last one of the window stays open.
+        starts = np.flatnonzero(breaks | (np.arange(len(owner)) == 0))
+        hashes = np.add.reduceat(terms * powers[in_word], starts)
+        if carried[0]:
+            hashes[:1] += open_word
+        elif value >= 0 and open_word:
+            by_word[value : value + 1] += _mixed(np.array([open_word], np.uint64))
+        closed = hashes[:-1]
+        _add(by_word, owner[starts[:-1]], np.where(closed != 0, _mixed(closed), np.uint64(0)))
+        value, open_word, after_gap = int(owner[-1]), hashes[-1], bool(gap[-1])
+        kept_in_value, kept_in_word = int(place[-1] + keep[-1]), int(in_word[-1] + keep[-1])
+        at = end
+    if value >= 0 and open_word:
+        by_word[value : value + 1] += _mixed(np.array([open_word], np.uint64))
+    ordered = np.where(length > 0, _mixed(ordered), np.uint64(0))
     if column.null_count:
         gone = column.is_null().to_numpy(zero_copy_only=False)
         for out in (ordered, by_word, by_letter):
@@ -110,15 +152,12 @@ def column_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ordered, by_word, by_letter
 
 
-def row_hashes(columns: list[pa.Array], n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The three hashes of each row over all its columns, by position."""
-    total = [np.full(n, (seed * BASE + 1) & MASK, np.uint64) for _ in range(3)]
+def letter_hash(columns: list[pa.Array], n: int) -> np.ndarray:
+    """One number of each row, the same for rows that could agree: its columns' letter hashes by position."""
+    total = np.full(n, 1, np.uint64)
     for i, column in enumerate(columns):
-        turn = np.uint64((2 * (i + seed * 101) + 1) * MIX & MASK)
-        for t, h in zip(total, column_hashes(column)):
-            t *= np.uint64(BASE)
-            t += _mixed(h * turn + np.uint64(i))
-    return tuple(total)
+        total = total * np.uint64(BASE) + _mixed(column_hashes(column)[2] * np.uint64((2 * i + 1) * MIX & MASK) + np.uint64(i))
+    return total
 
 
 def same_in_order(a: str, b: str) -> bool:
@@ -164,58 +203,71 @@ def collapse(spark: SparkSession, df: DataFrame, columns: list[str]) -> DataFram
     out and the order of the words is ignored; null equals only null, and is not the empty string.  Exact
     repeats count as copies.  Columns are compared as strings; an empty table gives no rows.
 
-    Exact repeats are added up before the shuffle.  Buckets are the rows of equal letter hash; a bucket's
-    variants are verified against its representative, never against one another, and those that are another
-    record go into a bucket of their own in a next round, until none are left.
+    Exact repeats are added up before the shuffle.  A row that shares its letter hash with no other is done with.
+    For the rest, each column's values are put into classes, two values being of one class if their ordered or
+    their word-wise polynomials agree, directly or through others; rows whose classes agree in every column are a
+    bucket.  So rows that are anagrams of one another part at once, and one round is enough unless 64-bit hashes
+    collide or values agree only through a third: what the two-pointer comparison with the bucket's longest row
+    rejects is no copy of it, and goes through again with the others so rejected.
     """
     spool = Spool(spark, "collapse")
     kept = [F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
     names = [f"c{i}" for i in range(len(columns))]
-    hashed_type = T.StructType(
-        [T.StructField(c, T.StringType()) for c in names] + [T.StructField(c, T.LongType()) for c in ("n", "ho", "hw", "hl")]
-    )
+    strings = ", ".join(f"{c} string" for c in names)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [batch.column(i) for i in range(len(names))]
-            hashes = row_hashes(texts, batch.num_rows, 1)
-            columns_out = [*texts, batch.column(len(names)), *[pa.array(h.view(np.int64)) for h in hashes]]
-            yield pa.RecordBatch.from_arrays(columns_out, names=[*names, "n", "ho", "hw", "hl"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(letter_hash(texts, batch.num_rows).view(np.int64))], names=[*names, "n", "hl"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, hl, place, ho, hw) for each value of each row."""
+        for batch in batches:
+            row, hl = batch.column(0), batch.column(1)
+            for i in range(len(names)):
+                ho, hw, _ = column_hashes(batch.column(2 + i))
+                place = pa.array(np.full(batch.num_rows, i, np.int32))
+                yield pa.RecordBatch.from_arrays([row, hl, place, pa.array(ho.view(np.int64)), pa.array(hw.view(np.int64))], names=["row", "hl", "place", "ho", "hw"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [batch.column(i).to_pylist() for i in range(len(names))]
             rep = [batch.column(len(names) + i).to_pylist() for i in range(len(names))]
             same = [all(same_field(x[k], y[k]) for x, y in zip(own, rep)) for k in range(batch.num_rows)]
-            rest = batch.schema.names[2 * len(names) :]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(names))], *[batch.column(r) for r in rest], pa.array(same, pa.bool_())],
-                names=[*names, *rest, "same"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *batch.columns[-3:], pa.array(same, pa.bool_())], names=[*names, "row", "n", "bucket", "same"])
 
     repeats = df.select(*kept).groupBy(*names).agg(F.count("*").alias("n"))
-    live = repeats.mapInArrow(hashed, hashed_type)
-    # The representative has the most words, by its length: spread-out spellings compare with all others.
-    whole = F.struct(F.length(F.concat_ws("", *names)).alias("size"), *names, "ho", "hw")
-    out: DataFrame | None = None
+    every = spool.save(repeats.mapInArrow(lettered, f"{strings}, n long, hl long"))
+    shared = every.groupBy("hl").agg(F.sum("n").alias("total"), F.count("*").alias("variants")).filter("total > 1")
+    met = spool.save(every.join(shared, "hl").select(*names, "n", "hl", "variants", F.monotonically_increasing_id().alias("row")))
+    # The number of a row stays what it is because the table is written.
+    out = met.filter("variants = 1").select(*names, F.col("n").alias("n_copies"))
+    live = met.filter("variants > 1").select(*names, "n", "hl", "row")
     while True:
-        live = spool.save(live)
-        groups = live.groupBy("hl").agg(F.sum("n").alias("total"), F.count("*").alias("variants"), F.max(whole).alias("rep"))
-        groups = spool.save(groups.filter("total > 1"))
-        single = groups.filter("variants = 1").select(*[F.col(f"rep.{c}").alias(c) for c in names], F.col("total").alias("n_copies"))
-        several = groups.filter("variants > 1").select("hl", *[F.col(f"rep.{c}").alias(f"r{c}") for c in names])
-        pairs = live.join(several, "hl").select(*names, *[f"r{c}" for c in names], "n", "ho", "hw", "hl")
-        checked_type = T.StructType(
-            [T.StructField(c, T.StringType()) for c in names]
-            + [T.StructField(c, T.LongType()) for c in ("n", "ho", "hw", "hl")]
-            + [T.StructField("same", T.BooleanType())]
-        )
-        checked = spool.save(pairs.mapInArrow(verified, checked_type))
-        counted = checked.filter("same").groupBy("hl").agg(F.sum("n").alias("n_copies"))
-        more = several.join(counted.filter("n_copies > 1"), "hl").select(*[F.col(f"r{c}").alias(c) for c in names], "n_copies")
-        found = single.unionByName(more)
-        out = found if out is None else out.unionByName(found)
-        live = checked.filter("not same").drop("same")
+        cell = spool.save(live.select("row", "hl", *names).mapInArrow(cells, "row long, hl long, place int, ho long, hw long"))
+        kinds = cell.groupBy("hl", "place", "hw", "ho").agg(F.count("*").alias("_n"))
+        turned = kinds.groupBy("hl", "place", "hw").agg(F.min("ho").alias("least"), F.max("ho").alias("most")).filter("least <> most")
+        node = lambda c: F.xxhash64("hl", "place", c)
+        edges = kinds.join(turned.select("hl", "place", "hw", "least"), ["hl", "place", "hw"]).select(node("ho").alias("u"), node("least").alias("v"))
+        edges = spool.save(edges.distinct())
+        # A value read in one way only belongs to the least of its words; components settle those that are linked through others.
+        if edges.groupBy("u").count().filter("count > 1").isEmpty():
+            alike = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        else:
+            alike = star_components(spark, edges)
+        marked = cell.select("row", "place", node("ho").alias("id")).join(alike, "id", "left")
+        # The bucket is the sum of what the columns' classes hash to, each under its place.
+        signs = marked.groupBy("row").agg(F.bit_xor(F.xxhash64("place", F.coalesce("component", "id"))).alias("bucket"))
+        live = spool.save(live.join(signs, "row"))
+        # The representative has the most words, by its length: spread-out spellings compare with all others.
+        whole = F.struct(F.length(F.concat_ws("", *names)).alias("size"), *names)
+        reps = spool.save(live.groupBy("bucket").agg(F.sum("n").alias("total"), F.max(whole).alias("rep")).filter("total > 1"))
+        rep = reps.select("bucket", *[F.col(f"rep.{c}").alias(f"r{c}") for c in names])
+        pairs = live.join(rep, "bucket").select(*names, *[f"r{c}" for c in names], "row", "n", "bucket")
+        checked = spool.save(pairs.mapInArrow(verified, f"{strings}, row long, n long, bucket long, same boolean"))
+        counted = checked.filter("same").groupBy("bucket").agg(F.sum("n").alias("n_copies"))
+        out = out.unionByName(rep.join(counted.filter("n_copies > 1"), "bucket").select(*[F.col(f"r{c}").alias(c) for c in names], "n_copies"))
+        live = checked.filter("not same").select(*names, "n", F.col("bucket").alias("hl"), "row")
         if live.isEmpty():
             break
     return out.select(*[F.col(c).alias(column) for c, column in zip(names, columns)], "n_copies")

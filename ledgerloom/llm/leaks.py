@@ -1,9 +1,10 @@
 """Problem 9: passages of held-out items within a training corpus, by suffix arrays of the corpus.
 
-Each task sorts the suffixes of its shard of the corpus, as words, and binary-searches every suffix of every
-item in it.  What is found are verbatim matches with their locations; they seed an alignment that allows
-single words to be altered, missing or added.  The corpus is never shuffled: a shard needs nothing but the
-items, and the items are read in blocks of bounded size.
+Each task sorts the suffixes of its shard of the corpus, as words and to their full length, and binary-searches
+every suffix of every item in it: what stands beside the place found shares the longest verbatim match.  Around
+it lie all places that share at least SEED words; their maximal matches, with length and location, are leaks if
+they are long enough and seed an alignment otherwise, which allows single words to be altered, missing or added.
+The corpus is never shuffled: a shard needs nothing but the items, and the items are read in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ PASSAGE, ONE_IN = 16, 6
 SEED = 4
 #: Words of a shard, and characters of a block of items; both bound memory, not the input.
 SHARD_WORDS, BLOCK_CHARS = 1_500_000, 16 << 20
+#: Places of a shard that are laid out at a time.
+SLICE = 2_000_000
 
 
 class Items:
@@ -47,64 +50,83 @@ class Items:
         return [get(w, 0) for w in words_of(text)]
 
 
-def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes in order of their first ``depth`` words or more; those at a 0 are left out.
+def suffix_array(tokens: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes in order; a suffix ends at the next 0, and those at a 0 are left out.
 
-    Prefix doubling: suffixes ordered by k words are ordered by 2k through the ranks of their halves.
+    Prefix doubling: suffixes ordered by k words are ordered by 2k through the ranks of their halves, until all
+    differ or the longest has been read whole.
     """
     n = len(tokens)
     at = np.flatnonzero(tokens)
+    if not len(at):
+        return at
+    ends = np.flatnonzero(np.concatenate([tokens == 0, [True]]))
+    longest = int(np.diff(np.concatenate([[-1], ends])).max()) - 1
     rank, k = tokens.astype(np.int64), 1
-    while k < depth and len(at):
+    while k < longest:
         ahead = np.zeros(n, np.int64)
         ahead[: n - k] = rank[k:]
-        key = rank * (int(rank.max()) + 2) + ahead
-        distinct, inverse = np.unique(key[at], return_inverse=True)
+        key = rank[at] * (int(rank.max()) + 2) + ahead[at]
+        order = np.argsort(key, kind="stable")
+        fresh = np.concatenate([[1], (np.diff(key[order]) != 0).astype(np.int64)]).cumsum()
         rank = np.zeros(n, np.int64)
-        rank[at] = inverse + 1
-        if len(distinct) == len(at):
+        rank[at[order]] = fresh
+        if fresh[-1] == len(at):
             break
         k *= 2
     return at[np.argsort(rank[at], kind="stable")]
 
 
-def search(tokens: np.ndarray, order: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
-    """For each row of ``wanted``, its place among the sorted suffixes, before or after those that begin with it."""
-    depth = wanted.shape[1]
-    padded = np.concatenate([tokens, np.zeros(depth, tokens.dtype)])
+def common_words_ahead(tokens: np.ndarray, at: np.ndarray, items: np.ndarray, wanted: np.ndarray, most: int | None = None) -> np.ndarray:
+    """For each pair of a place in the corpus and one in the items, the words that agree from there on, up to ``most``."""
+    out, live = np.zeros(len(at), np.int64), np.arange(len(at))
+    while len(live) and (most is None or out[live[0]] < most):
+        have, want = tokens[np.minimum(at[live] + out[live], len(tokens) - 1)], items[np.minimum(wanted[live] + out[live], len(items) - 1)]
+        live = live[(have == want) & (want != 0) & (at[live] + out[live] < len(tokens)) & (wanted[live] + out[live] < len(items))]
+        out[live] += 1
+    return out
+
+
+def search(tokens: np.ndarray, order: np.ndarray, items: np.ndarray, wanted: np.ndarray, most: int | None = None, after: bool = False) -> np.ndarray:
+    """For each item suffix its place among the corpus' sorted suffixes, comparing up to ``most`` words; ``after`` those that equal it."""
     low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(order), np.int64)
-    while True:
-        open_ = low < high
-        if not open_.any():
-            return low
+    padded, own = np.append(tokens, 0), np.append(items, 0)
+    while (low < high).any():
         middle = (low + high) // 2
         at = order[np.minimum(middle, len(order) - 1)]
-        less, undecided = np.zeros(len(wanted), bool), open_.copy()
-        for d in range(depth):
-            have, want = padded[at + d], wanted[:, d]
-            less |= undecided & (have < want)
-            undecided &= have == want
-        less |= undecided & right
-        low = np.where(open_ & less, middle + 1, low)
-        high = np.where(open_ & ~less, middle, high)
-
-
-def matches(tokens: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(item position, corpus position) of every place where at least SEED words agree."""
+        same = common_words_ahead(tokens, at, items, wanted, most)
+        less = padded[at + same] < own[wanted + same]
+        if most is not None:
+            less = np.where(same >= most, after, less)
+        going = low < high
+        low, high = np.where(going & less, middle + 1, low), np.where(going & ~less, middle, high)
+    return low
+
+
+def matches(tokens: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item position, corpus position, words) of every maximal verbatim match of at least SEED words."""
     none = np.zeros(0, np.int64)
-    windows = len(items.flat) - SEED + 1
-    if windows < 1 or len(tokens) < SEED:
-        return none, none
-    wanted = np.lib.stride_tricks.sliding_window_view(items.flat, SEED)
-    whole = np.flatnonzero((wanted != 0).all(axis=1))
-    order = suffix_array(tokens, 2 * SEED)
-    if not len(order) or not len(whole):
-        return none, none
-    first, last = search(tokens, order, wanted[whole], False), search(tokens, order, wanted[whole], True)
-    count = last - first
-    where = np.repeat(whole, count)
-    place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-    return where, order[place]
+    order, starts = suffix_array(tokens), np.flatnonzero(items.flat)
+    if not len(order) or not len(starts):
+        return none, none, none
+    # The longest match of an item's suffix stands next to its place; shorter ones than SEED are of no use.
+    place = search(tokens, order, items.flat, starts)
+    beside = [common_words_ahead(tokens, order[np.clip(place + step, 0, len(order) - 1)], items.flat, starts) for step in (-1, 0)]
+    starts = starts[np.maximum(*beside) >= SEED]
+    first, last = (search(tokens, order, items.flat, starts, SEED, after) for after in (False, True))
+    found, done = [], 0
+    total = np.cumsum(last - first)
+    while done < len(starts):
+        end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + SLICE, side="right")))
+        count = (last - first)[done:end]
+        where = np.repeat(starts[done:end], count)
+        at = order[np.repeat(first[done:end] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        # A match that could begin a word earlier is part of a longer one.
+        before = np.where((where > 0) & (at > 0), tokens[at - 1] == items.flat[where - 1], False) & (items.flat[where - 1] != 0)
+        where, at = where[~before], at[~before]
+        found.append((where, at, common_words_ahead(tokens, at, items.flat, where)))
+        done = end
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none)
 
 
 def _reach(item: list[int], doc: list[int], i0: int, j0: int, step: int) -> list[int]:
@@ -151,33 +173,30 @@ def holds(item: list[int], doc: list[int], seeds: list[tuple[int, int]]) -> bool
     return False
 
 
-def _seeds(where: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
-    """The first place of each run on a diagonal."""
-    pairs = sorted(set(zip((place - where).tolist(), where.tolist())))
-    return [(w, w + d) for k, (d, w) in enumerate(pairs) if not k or pairs[k - 1] != (d, w - 1)]
-
-
-def shard_leaks(docs: list[int], texts: list[list[int]], items: Items) -> list[tuple[int, int]]:
-    """(document, item) of every leak in a shard."""
+def shard_leaks(docs: list, texts: list[list[int]], items: Items) -> list[tuple]:
+    """(document, item, words, item position, document position) of every leak in a shard, with its longest verbatim match."""
     tokens = np.array([t for own in texts for t in (*own, 0)], np.int64)
     starts = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(own) + 1 for own in texts])])
-    where, place = matches(tokens, items)
+    where, place, words = matches(tokens, items)
     row = np.searchsorted(starts, place, side="right") - 1
     owner = items.owner[where] if len(where) else where
     pair = row * len(items.ids) + owner
-    order = np.argsort(pair, kind="stable")
+    order = np.lexsort((place, -words, pair))
     cuts = np.flatnonzero(np.diff(pair[order])) + 1
     found = []
     for part in np.split(order, cuts) if len(order) else []:
-        r, o = int(row[part[0]]), int(owner[part[0]])
-        seeds = _seeds(where[part] - items.starts[o], place[part] - starts[r])
-        if holds(items.words[o], texts[r], seeds):
-            found.append((docs[r], items.ids[o]))
+        best = part[0]
+        r, o = int(row[best]), int(owner[best])
+        i, j = where[part] - items.starts[o], place[part] - starts[r]
+        if words[best] >= PASSAGE or holds(items.words[o], texts[r], list(zip(i.tolist(), j.tolist()))):
+            found.append((docs[r], items.ids[o], int(words[best]), int(i[0]), int(j[0])))
     return found
 
 
 def leaks(spark: SparkSession, corpus: DataFrame, key: str, text: str, held: DataFrame, item: str, passage: str) -> DataFrame:
-    """(key, item) for each document and item of which the document holds a passage.
+    """(key, item, words, item_at, doc_at) for each document and item of which the document holds a passage.
+
+    ``words`` is the length of their longest verbatim match, and ``item_at`` and ``doc_at`` are the words before it.
 
     A passage is PASSAGE or more successive words of the item, of which one in ONE_IN may be altered, missing
     or added.  Letter case, accents, punctuation, layout, invisible characters and look-alike letters make no
@@ -190,7 +209,7 @@ def leaks(spark: SparkSession, corpus: DataFrame, key: str, text: str, held: Dat
     held = held.select(item, passage).filter(F.col(passage).isNotNull())
     chars = held.agg(F.sum(F.length(passage))).first()[0] or 0
     blocks = int(chars // BLOCK_CHARS) + 1
-    schema = f"`{key}` {corpus.schema[key].dataType.simpleString()}, `{item}` {held.schema[item].dataType.simpleString()}"
+    schema = f"`{key}` {corpus.schema[key].dataType.simpleString()}, `{item}` {held.schema[item].dataType.simpleString()}, words int, item_at int, doc_at int"
     texts = corpus.select(key, text).filter(F.length(text) > 0)
     out: DataFrame | None = None
     for block in range(blocks):
@@ -205,9 +224,9 @@ def leaks(spark: SparkSession, corpus: DataFrame, key: str, text: str, held: Dat
 
             def flush() -> pa.RecordBatch:
                 found = shard_leaks(docs, words, items)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([f[0] for f in found], types[0]), pa.array([f[1] for f in found], types[1])], names=[key, item]
-                )
+                kinds = [*types, pa.int32(), pa.int32(), pa.int32()]
+                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+                return pa.RecordBatch.from_arrays(columns, names=[key, item, "words", "item_at", "doc_at"])
 
             types = [pa.int64(), pa.int64()]
             for batch in batches:
@@ -228,7 +247,9 @@ def leaks(spark: SparkSession, corpus: DataFrame, key: str, text: str, held: Dat
 
         found = texts.mapInArrow(find, schema)
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return out.groupBy(key, item).agg(F.max(F.struct("words", (-F.col("item_at")).alias("i"), (-F.col("doc_at")).alias("d"))).alias("m")).select(
+        key, item, "m.words", (-F.col("m.i")).alias("item_at"), (-F.col("m.d")).alias("doc_at")
+    )
 
 
 def without_leaks(corpus: DataFrame, key: str, found: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ import re
 import pyarrow as pa
 
 from ledgerloom.llm.addresses import ABBREVIATED, LIMIT, Place, alignment_cost, read_address, same_place
+from ledgerloom.llm import formatting
 from ledgerloom.llm.formatting import collapse, column_hashes, same_field, same_in_order
 from ledgerloom.llm.names import Vocabulary, average_linkage, name_words, read_name, same_name, same_spelling
 from ledgerloom.llm.spelling import distance
+from ledgerloom.plans.spool import Spool
 
 GIVEN = "ANDREW BENJAMIN CHARLES DOROTHY EDWARD GERALD HAROLD JAMES KATHERINE LAWRENCE MARGARET NICHOLAS PATRICIA RAYMOND SAMUEL".split()
 TRADES = "PAVING ROOFING PLUMBING MASONRY IRRIGATION DRILLING CONCRETE WELDING LOGISTICS NURSERY".split()
@@ -214,6 +216,41 @@ def test_hashes_agree_with_folding():
     assert [len(x) for x in column_hashes(pa.array([], pa.string()))] == [0, 0, 0]
 
 
+def test_hashes_do_not_depend_on_the_window(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aB é-\t1建") for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", " ", "x y" * 30]
+    want = column_hashes(pa.array(texts))
+    for window in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(formatting, "WINDOW", window)
+        assert all((x == y).all() for x, y in zip(column_hashes(pa.array(texts)), want)), window
+        part = column_hashes(pa.array(["zz", *texts, "zz"]).slice(1, len(texts)))
+        assert all((x == y).all() for x, y in zip(part, want))
+    one = column_hashes(pa.array(["Single", "two words", "words, TWO"]))
+    assert one[0][0] == one[1][0] and one[1][1] == one[1][2] and one[0][1] != one[0][2]
+
+
+def test_anagrams_part_in_one_round(spark, monkeypatch):
+    rows = [("".join(p), "X") for p in itertools.islice(itertools.permutations("1234567"), 1000)]
+    rows += [("-".join(rows[5][0]), "x"), ("A B C D", "e f"), ("D C B A", "ef"), ("a-b cd", "f e")]
+    written = []
+
+    class Counted(Spool):
+        def save(self, df):
+            written.append(df.columns)
+            return super().save(df)
+
+    monkeypatch.setattr(formatting, "Spool", Counted)
+    df = spark.createDataFrame(rows, "id string, c string")
+    got = sorted((re.sub(r"[\W_]", "", r["id"]).upper(), r["n_copies"]) for r in collapse(spark, df, df.columns).collect())
+    assert got == [("1234756", 2) if rows[5][0] == "1234756" else (rows[5][0], 2), ("ABCD", 3)] and len([c for c in written if "same" in c]) == 1
+
+
+def test_values_linked_through_a_third_are_one(spark):
+    rows = [("AB C",), ("ABC",), ("C AB",), ("CAB",), ("B A C",)]
+    df = spark.createDataFrame(rows, "c string")
+    assert sorted(r["n_copies"] for r in collapse(spark, df, ["c"]).collect()) == [3]
+
+
 def test_two_pointers():
     assert same_in_order("L.L.C. of\tX", "llc OF x") and not same_in_order("ab", "abc")
     assert same_field("SMITH, JOHN", "john smith") and not same_field("2000-02-21", "2001-02-20")
