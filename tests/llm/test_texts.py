@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import leaks as lk
 from ledgerloom.llm.quality import corpus_stats, not_prose, text_stats
@@ -52,32 +53,48 @@ def test_words_ignore_how_letters_are_drawn():
     assert words_of(None) == words_of("") == words_of(" \n ") == []
 
 
-def test_suffix_array_is_sorted():
+def test_suffix_array_is_sorted_to_full_length():
     rng = np.random.default_rng(1)
-    tokens = rng.integers(0, 4, 400).astype(np.int64)
-    order = lk.suffix_array(tokens, 8)
-    keys = [tuple(np.concatenate([tokens[i : i + 8], np.zeros(8, np.int64)])[:8].tolist()) for i in order]
-    cut = lambda k: k[: k.index(0)] if 0 in k else k
-    assert [cut(k) for k in keys] == sorted(cut(k) for k in keys)
-    assert sorted(order.tolist()) == np.flatnonzero(tokens).tolist()
+    for high in (2, 4, 9):
+        tokens = rng.integers(0, high, 400).astype(np.int64)
+        tokens[100:180] = 1
+        order = lk.suffix_array(tokens)
+        whole = lambda i: tokens[i : i + int(np.argmax(np.append(tokens[i:], 0) == 0))].tolist()
+        assert [whole(i) for i in order] == sorted(whole(i) for i in order)
+        assert sorted(order.tolist()) == np.flatnonzero(tokens).tolist()
+    assert len(lk.suffix_array(np.zeros(5, np.int64))) == len(lk.suffix_array(np.zeros(0, np.int64))) == 0
 
 
 def _brute_matches(tokens, flat):
-    return {
-        (i, j)
-        for i in range(len(flat) - lk.SEED + 1)
-        for j in range(len(tokens) - lk.SEED + 1)
-        if all(flat[i + k] and flat[i + k] == tokens[j + k] for k in range(lk.SEED))
-    }
+    same = lambda i, j: 0 <= i < len(flat) and 0 <= j < len(tokens) and flat[i] and flat[i] == tokens[j]
+    out = set()
+    for i in range(len(flat)):
+        for j in range(len(tokens)):
+            if same(i, j) and not same(i - 1, j - 1):
+                n = next(n for n in range(len(flat) + 1) if not same(i + n, j + n))
+                if n >= lk.SEED:
+                    out.add((i, j, n))
+    return out
 
 
-def test_matches_equal_brute_force():
+def test_maximal_matches_equal_brute_force(monkeypatch):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(5)]
     items = lk.Items([(1, " ".join(rng.choices(vocabulary, k=40))), (2, " ".join(rng.choices(vocabulary, k=30))), (3, None), (4, "")])
     tokens = np.array(items.numbers(" ".join(rng.choices([*vocabulary, "other"], k=300))) + [0], np.int64)
-    where, place = lk.matches(tokens, items)
-    assert set(zip(where.tolist(), place.tolist())) == _brute_matches(tokens.tolist(), items.flat.tolist())
+    for size in (lk.SLICE, 7):
+        monkeypatch.setattr(lk, "SLICE", size)
+        where, place, words = lk.matches(tokens, items)
+        assert set(zip(where.tolist(), place.tolist(), words.tolist())) == _brute_matches(tokens.tolist(), items.flat.tolist())
+
+
+def test_longest_matches_have_their_place(spark):
+    passage = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(["x", "y", *passage[5:25], "z", *passage[5:30]])), (2, " ".join([*passage[:8], "z", *passage[9:19]])), (3, "x")]
+    held = spark.createDataFrame([(7, " ".join(passage))], "item_id long, text string")
+    corpus = spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit("clash"))
+    got = {tuple(r) for r in lk.leaks(spark, corpus, "doc_id", "text", held, "item_id", "text").collect()}
+    assert got == {(1, 7, 25, 5, 23), (2, 7, 10, 9, 9)}
 
 
 def _edit(words: list[str], rng: random.Random, edits: int) -> list[str]:
@@ -117,7 +134,7 @@ def test_leaks_are_found(spark):
     want.add((503, next(i for d, i in want if d == 2)))
     corpus = spark.createDataFrame(docs, "doc_id long, text string")
     held = spark.createDataFrame(items, "item_id long, text string")
-    got = {tuple(r) for r in lk.leaks(spark, corpus.repartition(5), "doc_id", "text", held, "item_id", "text").collect()}
+    got = {(r[0], r[1]) for r in lk.leaks(spark, corpus.repartition(5), "doc_id", "text", held, "item_id", "text").collect()}
     assert got == want
     assert lk.without_leaks(corpus, "doc_id", spark.createDataFrame(list(got), "doc_id long, item_id long")).count() == len(docs) - len({d for d, _ in got})
     assert lk.leaks(spark, corpus.limit(0), "doc_id", "text", held, "item_id", "text").count() == 0
