@@ -1,8 +1,9 @@
 """Problem 10: statistics of each text, and what they say: natural prose, list, table or junk.
 
-Tables show in delimiters that stand alike in line after line, lists in short lines whose openings or lengths
-repeat, junk in characters and words of no language.  Word, symbol and punctuation ratios are combined with
-these; each text is read whole and by itself, so the scan needs no shuffle.
+Tables show in delimiters that stand under one another, or as often, in line after line; lists in short lines of
+much the same length, or whose lengths or indents come back period by period; junk in characters and words of no
+language.  Word, symbol and punctuation ratios are combined with these; each text is read whole and by itself, so
+the scan needs no shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,32 +43,48 @@ VOWELS = frozenset("aeiouyáéíóúàèìòùâêîôûäëïöüãõåæœø")
 STATS = (
     "n_chars long, n_words long, mean_word_length double, symbol_share double, punct_line_share double, common_share double, "
     "n_lines long, words_per_line double, table_share double, columns long, cell_length double, marker_share double, stop_share double, "
-    "indent_period double, length_autocorrelation double, letter_share double, odd_word_share double, vowel_share double, "
+    "indent_period double, length_autocorrelation double, length_spread double, aligned_share double, letter_share double, odd_word_share double, vowel_share double, "
     "char_variety double, word_variety double"
 )
 _NAMES = [part.split()[0] for part in STATS.split(", ")]
 
 
-def _autocorrelation(lengths: np.ndarray) -> float:
-    """How alike successive line lengths are, 1 where all are equal: the correlation at lag 1 of lengths about their mean square."""
-    if len(lengths) < 3:
-        return 0.0
-    a, b = lengths[:-1].astype(float), lengths[1:].astype(float)
-    scale = float((a * a).sum() * (b * b).sum()) ** 0.5
-    return float((a * b).sum()) / scale if scale else 0.0
+#: Lines after which a pattern may come back, and the fewest lines that can show it.
+LAGS, PATTERN_LINES = (1, 2, 3, 4), 6
+
 
+def autocorrelation(values: list[int]) -> float:
+    """How much a sequence of numbers follows itself some lines on: the largest correlation of deviations from the mean over LAGS.
 
-def _period(indents: list[int]) -> float:
-    """The share of lines whose indent is that of the line one, two or three before, at the best of these."""
-    if len(indents) < 4:
+    Near 1 where the numbers come back period by period, about 0 where they are drawn at random; 0 where they
+    are all alike or too few.
+    """
+    x = np.array(values, float)
+    x = x - x.mean() if len(x) else x
+    power = float((x * x).sum())
+    if len(x) < PATTERN_LINES or not power:
         return 0.0
-    x = np.array(indents)
-    return max(float((x[k:] == x[:-k]).mean()) for k in (1, 2, 3) if len(x) > k)
+    # Each lag is weighed by the lines it leaves, so that a long lag is not worth less.
+    return max(float((x[k:] * x[:-k]).sum()) / power * len(x) / (len(x) - k) for k in LAGS if len(x) > k + 1)
+
+
+class Table(NamedTuple):
+    """The best delimiter of a text: the share of lines that it divides alike, the number of cells, their mean length,
+    and the share of lines in which it stands under itself."""
+
+    share: float = 0.0
+    columns: int = 1
+    cell: float = 0.0
+    aligned: float = 0.0
 
 
-def _table(lines: list[str]) -> tuple[float, int, float]:
-    """The best delimiter's share of lines with its usual number of cells or fewer gaps, that number, and the mean cell length."""
-    best = (0.0, 1, 0.0)
+def find_table(lines: list[str]) -> Table:
+    """The table that a text's lines make, by the delimiter that divides most of them alike.
+
+    Lines are alike if they have the usual number of cells, or if a delimiter of theirs ends where it does in half of
+    all lines: columns of a set width stand under one another even where cells are empty.
+    """
+    best = Table()
     if len(lines) < 2:
         return best
     whole = "\n".join(lines)
@@ -74,21 +92,23 @@ def _table(lines: list[str]) -> tuple[float, int, float]:
         if SIGNS[name] not in whole:
             continue
         # A frame around the rows is no delimiter; an open end is an empty cell.
-        cells = [splitter.split(line.strip().strip("|") if name == "pipe" and line.lstrip().startswith("|") else line) for line in lines]
+        rows = [line.strip().strip("|") if name == "pipe" and line.lstrip().startswith("|") else line for line in lines]
+        cells = [splitter.split(row) for row in rows]
         counts = Counter(len(c) for c in cells)
         usual, n = max(counts.items(), key=lambda kv: (kv[1], kv[0]))
-        if name == "gap":  # an empty cell leaves no gap of its own
-            usual = max(counts, key=lambda k: (k > 1, counts[k], k))
-            ends = [[m.end() for m in splitter.finditer(line)] for line in lines]
-            starts = Counter(e for own in ends for e in own)
-            # A column counts where its start is aligned in most lines.
-            n = sum(any(starts[e] >= max(2, 0.5 * len(lines)) for e in own) for own in ends)
+        ends = [{m.end() for m in splitter.finditer(row)} for row in rows]
+        places = Counter(e for own in ends for e in own)
+        under = sum(any(places[e] >= max(2, 0.5 * len(lines)) for e in own) for own in ends)
+        if name == "gap":  # an empty cell leaves no gap of its own, so only the places tell
+            usual, n = max(counts, key=lambda k: (k > 1, counts[k], k)), under
+        if usual < 2 and under < n:
+            continue
+        usual = max(usual, 2 if under else 1)
         if usual < 2:
             continue
-        share = n / len(lines)
-        length = float(np.mean([len(x) for c in cells for x in c]))
-        if share > best[0]:
-            best = (share, usual, length)
+        found = Table(max(n if counts[usual] or name == "gap" else 0, under) / len(lines), usual, float(np.mean([len(x) for c in cells for x in c])), under / len(lines))
+        if found.share > best.share:
+            best = found
     return best
 
 
@@ -118,8 +138,8 @@ def text_stats(text: str | None) -> tuple | None:
         or (w.isalpha() and w.isascii() and len(w) > 2 and VOWELS.isdisjoint(w))
         or (not w.isalpha() and not w.isdigit() and any(c.isalpha() for c in w))
     )
-    share, columns, cell = _table(lines)
-    lengths = np.array([len(line.strip()) for line in lines])
+    table = find_table(lines)
+    lengths = [len(line.strip()) for line in lines]
     variety = -sum(k / n * np.log2(k / n) for k in counts.values())
     return (
         len(text),
@@ -130,13 +150,15 @@ def text_stats(text: str | None) -> tuple | None:
         sum(k for w, k in kinds.items() if w in COMMON) / max(1, len(words)),
         len(lines),
         len(words) / len(lines),
-        share,
-        columns,
-        cell,
+        table.share,
+        table.columns,
+        table.cell,
         sum(bool(MARKER.match(line)) for line in lines) / len(lines),
         sum(line.rstrip().endswith(STOP) for line in lines) / len(lines),
-        _period([len(line) - len(line.lstrip()) for line in lines]),
-        _autocorrelation(lengths),
+        autocorrelation([len(line) - len(line.lstrip()) for line in lines]),
+        autocorrelation(lengths),
+        float(np.std(lengths) / np.mean(lengths)),
+        table.aligned,
         letters / n,
         odd / max(1, len(words)),
         vowels / (vowels + consonants) if vowels + consonants else -1.0,
@@ -159,6 +181,10 @@ def corpus_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(measure, schema)
 
 
+#: Deviation of line lengths, as a share of their mean, up to which they are even; autocorrelation from which a pattern comes back.
+SPREAD, PERIOD = 0.5, 0.6
+
+
 def kind() -> Column:
     """``table``, ``list`` or ``junk`` by the statistics; null for prose and for texts without any."""
     c = F.col
@@ -167,11 +193,10 @@ def kind() -> Column:
     single = (c("words_per_line") <= 9) & (c("n_lines") >= 2)
     marked = structured & single & (c("marker_share") >= 0.5) & ~((c("columns") > 2) & (c("table_share") >= 0.9))
     table = structured & ~marked & (c("n_lines") >= 2) & (c("table_share") > 0) & (c("columns") >= 2) & (c("table_share") >= 0.6) & (c("cell_length") <= 40)
-    listed = marked | (
-        structured
-        & single
-        & ((c("n_lines") >= 3) & (c("stop_share") <= 0.05) & (c("words_per_line") <= 5) & (c("odd_word_share") < 0.5) & (c("length_autocorrelation") >= 0.8) & ((c("indent_period") >= 0.5) | (c("n_lines") < 4)))
-    )
+    # Lines of much the same length name one thing each; longer ones are a list if their lengths or indents come back.
+    even = (c("words_per_line") <= 5) & (c("length_spread") <= SPREAD)
+    recurring = (c("indent_period") >= PERIOD) | (c("length_autocorrelation") >= PERIOD)
+    listed = marked | (structured & single & (c("n_lines") >= 3) & (c("stop_share") <= 0.05) & (c("odd_word_share") < 0.5) & (even | recurring))
     broken = (
         (c("symbol_share") >= 0.10)
         | (c("odd_word_share") >= 0.35)

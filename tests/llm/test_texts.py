@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import leaks as lk
-from ledgerloom.llm.quality import corpus_stats, not_prose, text_stats
+from ledgerloom.llm import quality
+from ledgerloom.llm.quality import PERIOD, Table, autocorrelation, corpus_stats, find_table, not_prose, text_stats
 from ledgerloom.llm.tokens import DEFAULT_FOLDER, encode_corpus, read_ranks, tokenizer
 from ledgerloom.llm.words import words_of
 
@@ -184,3 +185,29 @@ def test_statistics_by_hand():
     assert s["mean_word_length"] == pytest.approx(20 / 6) and s["common_share"] == 0.5 and s["symbol_share"] == 0
     assert text_stats(None) is None and text_stats(" \n") is None
     assert text_stats("a " * 200_000)[1] == 200_000
+
+
+def test_structure_is_measured():
+    rng = random.Random(1)
+    drawn = [autocorrelation([rng.randrange(20, 80) for _ in range(40)]) for _ in range(200)]
+    assert sum(x >= PERIOD for x in drawn) == 0 and autocorrelation([0] * 30) == autocorrelation([]) == autocorrelation([3, 9]) == 0.0
+    assert autocorrelation([12, 40] * 8) > 0.9 and autocorrelation([0, 4, 4] * 6) > 0.9
+    ragged = ["PUMP      |2003 |x|y", "CRANE     |1999", "LOADER    |      | |", "DOZER     |1987 |z"]
+    assert find_table(ragged).aligned == 1.0 and find_table(ragged).share == 1.0
+    assert find_table(["one line"]) == find_table([]) == Table()
+
+
+def test_recurring_lengths_and_indents_decide(spark, monkeypatch):
+    rng = random.Random(2)
+    things = "PUMP CRANE LOADER DOZER WINCH BALER LATHE AUGER MIXER PRESS".split()
+    tail = "serial number plate fitted diesel hydraulic reconditioned warehouse depot yard".split()
+    by_length = "\n".join(f"{t}\nKRT{rng.randrange(10**3)} {' '.join(rng.sample(tail, 7))}" for t in things)
+    by_indent = "\n".join(f"{t} {' '.join(rng.sample(tail, 5))}\n    {' '.join(rng.sample(tail, 6))}\n    {' '.join(rng.sample(tail, 6))}" for t in things)
+    df = spark.createDataFrame([(1, by_length), (2, by_indent)], "doc_id long, text string")
+    assert {tuple(r) for r in not_prose(df, "doc_id", "text").collect()} == {(1, "list"), (2, "list")}
+    # Without the two measures neither is told from prose of unknown words.
+    monkeypatch.setattr(quality, "PERIOD", 2.0)
+    assert not_prose(df, "doc_id", "text").count() == 0
+    aligned = "\n".join(f"{t:<12}" + ("|".join(rng.sample(tail, 1 + k % 4))) for k, t in enumerate(things))
+    ones = spark.createDataFrame([(3, aligned)], "doc_id long, text string")
+    assert [r["kind"] for r in not_prose(ones, "doc_id", "text").collect()] == ["table"]
