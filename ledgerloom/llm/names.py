@@ -2,9 +2,10 @@
 
 Names are read into a distinctive part and common words, with legal forms, titles and initials left out and
 abbreviations and nicknames written out.  Which words are common is counted over all names.  Distinct readings
-whose common words agree become candidates if what a few deletions leave of them is the same, or, of long ones, by
-a distributed sparse product of character trigrams; candidates are verified by edit distance.  Readings are also
-sparse vectors of trigrams weighted by their rarity, whose products in a distributed join group verified pairs by average linkage over the cosines of all their pairs, merging mutual best pairs round by round.
+are sparse vectors of character trigrams, weighted by their rarity, under their common words.  A distributed
+sparse join finds the pairs whose cosine reaches a bar; of these an edit distance drops what is another name.
+The pairs are grouped by average linkage over the cosines of all pairs of two groups, merging mutual best pairs
+round by round.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,10 +138,12 @@ NICKNAMES = {
 #: A word is common if it stands beside at least this many different words, in this share of distinct names;
 #: so there are at most some ten thousand common words, whatever the size of the input.
 MATES, SHARE = 12, 1 / 2000
-#: Least average cosine within a group.
-LINKAGE = 0.05
-#: Letters of a distinctive part up to which candidates are found by what deletions leave; longer ones by trigrams.
-NEAR = 16
+#: Least cosine of a pair, and least average cosine within a group.
+COSINE, LINKAGE = 0.2, 0.2
+#: Places of a trigram that are one cell of the join.
+CELL = 8
+#: Letters up to which a part travels with its trigrams; longer ones are looked up once a pair is known.
+SHORT = 64
 #: Rare words of a name of which every order is read.
 ORDERS = 4
 
@@ -289,61 +291,47 @@ def common_words(names: DataFrame, words: str) -> dict[str, int]:
     return {r["w"]: r["held"] for r in found.select("w", "held").collect()}
 
 
-def near_pairs(spool: Spool, cases: DataFrame) -> DataFrame:
-    """(a, b) of cases (id, part, block) of one block, with parts of up to NEAR letters, that ``same_spelling`` could accept.
-
-    Two parts within so many edits leave the same letters when as many are taken out of each; so every part is
-    filed under all that can be left of it.  No pair of such lengths is lost, none capped.
-    """
+def gram_vectors(cases: DataFrame) -> DataFrame:
+    """(id, g, n, at, w) of cases (id, part): the weighted vector of the padded part's trigrams, of length 1.
 
-    def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                ids, buckets = [], []
-                for case, part, block in zip(*(c.to_pylist() for c in batch.slice(i, 2000).columns)):
-                    for x in _deletions(part, 1 if len(part) <= 7 else 2):
-                        ids.append(case)
-                        buckets.append(xxhash.xxh64_intdigest(f"{block}|{x}") - (1 << 63))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(buckets, pa.int64())], names=["id", "bucket"])
-
-    short = cases.select("id", "part", "block").filter(F.length("part").between(4, NEAR))
-    filed = spool.save(short.mapInArrow(left_over, "id long, bucket long"))
-    met = filed.select(F.col("id").alias("a"), "bucket").join(filed.select(F.col("id").alias("b"), "bucket"), "bucket")
-    return met.filter("a < b").select("a", "b").distinct()
-
-
-def ngram_pairs(spool: Spool, cases: DataFrame) -> DataFrame:
-    """(a, b) of cases (id, part, block) of one block, the longer part over NEAR letters, that ``same_spelling`` could accept.
-
-    The trigrams of the framed parts are multiplied gram by gram, sparse against sparse, and added up on the map
-    side first.  So many edits change the length by no more, move a gram by no more, and leave all but four grams
-    for each of them, of which parts over NEAR letters have more.  No pair of such lengths is lost, none capped.
+    ``g`` is a trigram's hash, ``n`` how many of it there are in all, ``at`` its places in the part, and ``w``
+    the root of its count times the root of its logarithmic rarity.
     """
-    framed = F.concat(F.lit("^"), "part", F.lit("$"))
-    at = F.sequence(F.lit(1), F.length(framed) - 2)
-    spots = F.transform(at, lambda i: F.struct(i.alias("at"), F.substring(framed, i, F.lit(3)).alias("g")))
-    long = cases.select("id", "part", "block").filter(F.length("part") > NEAR - 2)
-    grams = long.select("id", "block", F.length("part").alias("long"), F.explode(spots).alias("s")).select("id", "block", "long", "s.at", "s.g")
-    vectors = grams.select("id", F.xxhash64("block", "g").alias("bucket"), "long", "at")
-    vectors = spool.save(vectors)
-    left = vectors.select(F.col("id").alias("a"), "bucket", F.col("long").alias("la"), F.col("at").alias("pa"))
-    right = vectors.select(F.col("id").alias("b"), "bucket", F.col("long").alias("lb"), F.col("at").alias("pb"))
-    near = (F.abs(F.col("la") - F.col("lb")) <= 2) & (F.abs(F.col("pa") - F.col("pb")) <= 2) & (F.greatest("la", "lb") > NEAR)
-    met = left.join(right, "bucket").filter((F.col("a") < F.col("b")) & near)
-    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(F.greatest("la", "lb") - 8).alias("needed"))
-    return shared.filter(F.col("shared") >= F.col("needed")).select("a", "b")
-
-
-def gram_vectors(cases: DataFrame) -> DataFrame:
-    """(id, g, w) of cases (id, part): the TF-IDF vector of the framed part's trigrams, of length 1."""
-    framed = F.concat(F.lit("^"), "part", F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(framed) - 2), lambda i: F.substring(framed, i, F.lit(3)))
-    held = cases.select("id", F.explode(grams).alias("gram")).groupBy("id", F.xxhash64("gram").alias("g")).agg(F.count("*").alias("tf"))
+    # By letters and not by substrings, of which each one reads the part from its start.
+    letters = cases.select("id", F.split(F.concat(F.lit("^^"), "part", F.lit("$$")), "").alias("x")).withColumn("x", F.filter("x", lambda c: c != ""))
+    grams = F.arrays_zip(F.col("x").alias("p"), F.slice("x", F.lit(2), F.size("x")).alias("q"), F.slice("x", F.lit(3), F.size("x")).alias("r"))
+    each = letters.select("id", F.posexplode(grams).alias("at", "s")).filter("s.r is not null").select("id", F.xxhash64(F.concat("s.p", "s.q", "s.r")).alias("g"), "at")
+    held = each.groupBy("id", "g").agg(F.count("*").alias("tf"), F.collect_list("at").alias("at"))
     total = cases.count()
     counts = held.groupBy("g").agg(F.sum("tf").alias("n"))
-    weighed = held.join(counts, "g").withColumn("w", F.col("tf") * F.log(1 + F.lit(float(total)) / F.col("n")))
+    weighed = held.join(counts, "g").withColumn("w", F.sqrt("tf") * F.sqrt(F.log(1 + F.lit(float(total)) / F.col("n"))))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return weighed.select("id", "g", (F.col("w") / norm).alias("w"))
+    return weighed.select("id", "g", "n", "at", (F.col("w") / norm).alias("w"))
+
+
+def cosine_pairs(spool: Spool, cases: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
+    """(a, b, s) of cases (id, part, block) of one block whose cosine ``s`` reaches ``floor`` and whose letters differ by few edits.
+
+    The rarest trigrams that two vectors share must be among the first of each, rarest first, that leave less than
+    ``floor`` of its length: the rest alone can't reach it.  Only these prefixes are joined, so frequent trigrams
+    meet nothing, and no partner is capped.  Two errors move a trigram by two places and cost four edits at most,
+    which is looked at where the prefixes meet, before any pair is written; the cosine is then the sum over all
+    trigrams.
+    """
+    before = Window.partitionBy("id").orderBy("n", "g").rowsBetween(Window.unboundedPreceding, -1)
+    left_over = 1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(before), F.lit(0.0))
+    prefix = vectors.withColumn("left", left_over).filter(F.col("left") >= floor * floor).select("id", "g", "at")
+    known = cases.select("id", "block", F.when(F.length("part") <= SHORT, F.col("part")).alias("part"), F.length("part").alias("long"))
+    filed = spool.save(prefix.join(known, "id").select("id", "part", "long", "at", F.xxhash64("block", "g").alias("gram")))
+    # A trigram repeated within a cell is filed there once; one side looks into the cells that lie two places around.
+    own = F.array_distinct(F.transform("at", lambda x: F.floor(x / CELL)))
+    around = F.array_distinct(F.flatten(F.transform("at", lambda x: F.array(F.floor((x - 2) / CELL), F.floor((x + 2) / CELL)))))
+    left = filed.select(F.col("id").alias("a"), F.col("part").alias("pa"), F.col("long").alias("la"), "gram", F.explode(own).alias("cell"))
+    right = filed.select(F.col("id").alias("b"), F.col("part").alias("pb"), F.col("long").alias("lb"), "gram", F.explode(around).alias("cell"))
+    near = (F.abs(F.col("la") - F.col("lb")) <= 2) & F.coalesce(F.levenshtein("pa", "pb", 4) >= 0, F.lit(True))
+    met = left.join(right, ["gram", "cell"]).filter((F.col("a") < F.col("b")) & near)
+    pairs = spool.save(met.select("a", "b").distinct())
+    return _dots(pairs, vectors.select(F.col("id").alias("cluster"), "g", "w")).filter(F.col("s") >= floor)
 
 
 def _dots(pairs: DataFrame, sums: DataFrame) -> DataFrame:
@@ -355,7 +343,7 @@ def _dots(pairs: DataFrame, sums: DataFrame) -> DataFrame:
 
 
 def average_linkage(spark: SparkSession, edges: DataFrame, floor: float, vectors: DataFrame | None = None) -> DataFrame:
-    """(id, cluster) for every id on an edge (a, b, s), or (a, b) with vectors: average-linkage clusters of similarity ``floor`` or more.
+    """(id, cluster) for every id on an edge (a, b, s): average-linkage clusters of similarity ``floor`` or more.
 
     With ``vectors`` (id, g, w), of length 1, the average is that of the cosines of all pairs of two clusters,
     on an edge or not, as the dot product of their summed vectors; edges only tell which clusters may merge.  So
@@ -365,14 +353,12 @@ def average_linkage(spark: SparkSession, edges: DataFrame, floor: float, vectors
     the smaller pair of ids, so at least one pair merges as long as any reaches the floor.
     """
     spool = Spool(spark, "linkage")
-    live = spool.save(edges.select("a", "b", "s" if vectors is None else F.lit(0.0).alias("s")))
+    live = spool.save(edges.select("a", "b", "s"))
     home = spool.save(live.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("cluster"), F.lit(1).alias("size")))
     own = None
     if vectors is not None:
         own = spool.save(vectors.join(home.select("id"), "id").select("id", "g", "w"))
-        before, live = live, spool.save(_dots(live.select("a", "b"), own.withColumnRenamed("id", "cluster")))
-        spool.drop(before)
-    while True:
+    while live.spool_rows:
         sizes = home.groupBy("cluster").agg(F.count("*").alias("n"))
         rated = (
             live.join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a")
@@ -384,8 +370,8 @@ def average_linkage(spark: SparkSession, edges: DataFrame, floor: float, vectors
         sides = rated.select(F.explode(F.array(F.struct(F.col("a").alias("c"), order.alias("o")), F.struct(F.col("b").alias("c"), order.alias("o")))).alias("e")).select("e.*")
         best = sides.groupBy("c").agg(F.min("o").alias("o"))
         merged = spool.save(best.groupBy("o.a", "o.b").count().filter("count = 2").select(F.col("b").alias("old"), F.col("a").alias("new")))
-        if merged.isEmpty():
-            return home.select("id", "cluster")
+        if not merged.spool_rows:
+            break
         moved = home.join(merged, home["cluster"] == merged["old"], "left").select("id", F.coalesce("new", "cluster").alias("cluster"), "size")
         turned = (
             live.join(merged.select(F.col("old").alias("a"), F.col("new").alias("ta")), "a", "left")
@@ -397,7 +383,7 @@ def average_linkage(spark: SparkSession, edges: DataFrame, floor: float, vectors
         )
         before = [live, home]
         home, live = spool.save(moved), spool.save(turned)
-        if own is not None:
+        if own is not None and live.spool_rows:
             # Only pairs with a cluster that has grown have another sum than in the round before.
             grown = merged.select(F.col("new").alias("c"))
             touched = live.join(grown.withColumnRenamed("c", "a"), "a", "left_semi").union(live.join(grown.withColumnRenamed("c", "b"), "b", "left_semi"))
@@ -408,6 +394,7 @@ def average_linkage(spark: SparkSession, edges: DataFrame, floor: float, vectors
             before += [live, pairs, sums]
             live = summed
         spool.drop(*before, merged)
+    return home.select("id", "cluster")
 
 
 def same_name(spark: SparkSession, records: DataFrame) -> DataFrame:
@@ -439,17 +426,18 @@ def same_name(spark: SparkSession, records: DataFrame) -> DataFrame:
     readings = names.mapInArrow(read, "name string, part string, block string").withColumn("id", F.xxhash64("part", "block"))
     readings = spool.save(readings)
     cases = spool.save(readings.select("id", "part", "block").dropDuplicates(["id"]))
-    similar = near_pairs(spool, cases).union(ngram_pairs(spool, cases))
+    vectors = spool.save(gram_vectors(cases))
+    similar = cosine_pairs(spool, cases, vectors, COSINE)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [same_spelling(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            good = [same_spelling(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield batch.select([0, 1, 2]).filter(pa.array(good, pa.bool_()))
 
     parts = cases.select("id", "part")
     wide = similar.join(parts.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
-    edges = spool.save(wide.select("a", "b", "pa", "pb").mapInArrow(verify, "a long, b long"))
-    clusters = spool.save(average_linkage(spark, edges, LINKAGE, gram_vectors(parts)))
+    edges = spool.save(wide.select("a", "b", "s", "pa", "pb").mapInArrow(verify, "a long, b long, s double"))
+    clusters = spool.save(average_linkage(spark, edges, LINKAGE, vectors))
     members = records.join(readings.select("name", "id"), "name").join(clusters, "id", "left")
     members = spool.save(members.select("key", F.col("id").alias("case"), F.coalesce("cluster", "id").alias("id")).distinct())
     # A verified pair stays a pair where the averages part its ends.

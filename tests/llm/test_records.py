@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.addresses import ABBREVIATED, LIMIT, Place, alignment_cost, read_address, same_place
 from ledgerloom.llm import formatting
 from ledgerloom.llm.formatting import collapse, column_hashes, same_field, same_in_order
-from ledgerloom.llm.names import Vocabulary, average_linkage, name_words, read_name, same_name, same_spelling
+from ledgerloom.llm.names import COSINE, Vocabulary, average_linkage, cosine_pairs, gram_vectors, name_words, read_name, same_name, same_spelling
 from ledgerloom.llm.spelling import distance
 from ledgerloom.plans.spool import Spool
 
@@ -87,7 +90,7 @@ def test_a_short_name_of_many_spellings_stays_one(spark):
     assert want <= got
 
 
-def test_every_pair_of_the_edits_is_a_candidate(spark):
+def test_every_pair_that_reaches_the_cosine_is_found(spark):
     rng = random.Random(8)
     typed = lambda w: (lambda i: rng.choice([w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + w[i + 1 :], w[:i] + rng.choice("AEKST") + w[i + 1 :]]))(rng.randrange(len(w) - 1))
     names = ["KING", "KNIG", "SIWUKERT", "SWIUKRET", "WPUEMATEN", "WUPEMTAEN", "POEZKRET", "POZEKRT", "BRUZIUT", "BRYZIHUT"]
@@ -95,10 +98,18 @@ def test_every_pair_of_the_edits_is_a_candidate(spark):
         for _ in range(8):
             word = "".join(rng.choice("BDKLMNRSTAEIOU") for _ in range(long))
             names += [word, typed(word), typed(typed(word))]
-    rows = [(f"k{i:03d}", n) for i, n in enumerate(names)]
-    got = {tuple(r) for r in same_name(spark, spark.createDataFrame(rows, "key string, name string")).collect()}
-    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if same_spelling(x, y)}
-    assert len(want) > 100 and want <= got
+    names = list(dict.fromkeys(names))
+    grams = [Counter(f"^^{n}$$"[i : i + 3] for i in range(len(n) + 2)) for n in names]
+    held = sum(grams, Counter())
+    vectors = [{g: (k * math.log(1 + len(names) / held[g])) ** 0.5 for g, k in c.items()} for c in grams]
+    norms = [sum(w * w for w in v.values()) ** 0.5 for v in vectors]
+    cosine = {(i, j): sum(w * vectors[j].get(g, 0.0) for g, w in vectors[i].items()) / norms[i] / norms[j] for i, j in itertools.combinations(range(len(names)), 2)}
+    df = spark.createDataFrame(list(enumerate(names)), "id long, part string").withColumn("block", F.lit(""))
+    found = {(r["a"], r["b"]): r["s"] for r in cosine_pairs(Spool(spark, "test"), df, gram_vectors(df), COSINE).collect()}
+    want = {p for p, s in cosine.items() if s >= COSINE and same_spelling(names[p[0]], names[p[1]])}
+    assert len(want) > 100 and want <= set(found) and all(abs(cosine[p] - s) < 1e-9 for p, s in found.items())
+    # The bar decides: some pairs within the edits stay below it.
+    assert any(s < COSINE and same_spelling(names[i], names[j]) for (i, j), s in cosine.items())
 
 
 def test_rare_words_in_another_order_are_one_name(spark):
@@ -112,10 +123,11 @@ def test_rare_words_in_another_order_are_one_name(spark):
 
 
 def test_a_name_of_forty_thousand_letters(spark):
-    long = "".join(random.Random(4).choice("BDKLMNRST") for _ in range(40_000))
-    rows = [("a1", long), ("a2", long[:20_000] + "Z" + long[20_001:]), ("b1", "ZOTROWAR ANDREW"), ("b2", "ZOTROWRA ANDREW")]
+    long = "K" * 40_000
+    drawn = "".join(random.Random(4).choices("BDKLMNRST", k=40_000))
+    rows = [("a1", long), ("a2", long[:20_000] + "Z" + long[20_001:]), ("c1", drawn), ("c2", drawn[:10_000] + drawn[10_001:]), ("b1", "ZOTROWAR ANDREW"), ("b2", "ZOTROWRA ANDREW")]
     got = {tuple(r) for r in same_name(spark, spark.createDataFrame(rows, "key string, name string")).collect()}
-    assert got == {("a1", "a2"), ("b1", "b2")}
+    assert got == {("a1", "a2"), ("b1", "b2"), ("c1", "c2")}
     assert Vocabulary({"PLUMBING": 40}).read(long) == (long,)
 
 
