@@ -42,7 +42,7 @@ def boruvka(spark: SparkSession, edges: DataFrame) -> DataFrame:
     spool = Spool(spark, "boruvka")
     live = spool.save(_undirected(edges))
     levels: list[DataFrame] = []
-    while not live.isEmpty():
+    while live.spool_rows:
         seen = _both_ways(live).select("c", F.struct(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).alias("e"))
         picked = spool.save(
             seen.groupBy("c").agg(F.min("e").alias("e")).select("c", F.when(F.col("e.a") == F.col("c"), F.col("e.b")).otherwise(F.col("e.a")).alias("p"))
@@ -58,8 +58,7 @@ def boruvka(spark: SparkSession, edges: DataFrame) -> DataFrame:
             after = spool.save(tree.join(ahead, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
             done = after.filter("moved").isEmpty()
             spool.drop(tree)
-            tree = after.select("c", "p")
-            tree.spool_path = after.spool_path
+            tree = after
             if done:
                 break
         levels.append(tree)
@@ -85,7 +84,7 @@ def star_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     spool = Spool(spark, "stars")
     live = spool.save(_undirected(edges))
-    if live.isEmpty():
+    if not live.spool_rows:
         return live.select(F.col("u").alias("id"), F.col("v").alias("component"))
     while True:
         around = _both_ways(live)
@@ -95,7 +94,7 @@ def star_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         below = large.join(least, "v").select("u", "m").union(least.select(F.col("v").alias("u"), "m"))
         small = spool.save(_undirected(below.select("u", F.col("m").alias("v"))))
-        same = small.count() == live.count() and live.exceptAll(small).isEmpty()
+        same = small.spool_rows == live.spool_rows and small.count() == live.count() and live.exceptAll(small).isEmpty()
         spool.drop(live, large)
         live = small
         if same:

@@ -45,7 +45,7 @@ def _cuts(rows: DataFrame, targets: list[float]) -> list[float]:
 
 
 def grouped_split(
-    spark: SparkSession, df: DataFrame, record: Column, entity: Column, shares: dict[str, float], salt: str
+    spark: SparkSession, df: DataFrame, record: Column, entity: Column, shares: dict[str, float], salt: str, recorded: DataFrame | None = None
 ) -> DataFrame:
     """``df`` with ``component`` and ``split``; rows that share a record or entity key fall on one side.
 
@@ -71,6 +71,15 @@ def grouped_split(
     sizes = spool.save(placed.groupBy("component").agg(F.count("*").alias("n")).withColumn("h", unit(F.col("component"), salt)))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     missing = {s: share * total for s, share in shares.items()}
+    kept = None
+    if recorded is not None:
+        known = recorded.filter("record is not null").select(F.concat(F.lit("r"), "record").alias("_r"), F.col("split").alias("_kept"))
+        home = keyed.select("_r", "_own").distinct().join(known, "_r").join(roots, "_own", "left").select(F.coalesce("_top", "_own").alias("component"), "_r", "_kept").distinct()
+        votes = home.groupBy("component", "_kept").agg(F.count("*").alias("v"))
+        kept = spool.save(votes.groupBy("component").agg(F.min(F.struct((-F.col("v")).alias("v"), "_kept")).alias("m")).select("component", "m._kept"))
+        for row in sizes.join(kept, "component").groupBy("_kept").agg(F.sum("n").alias("n")).collect():
+            missing[row["_kept"]] -= row["n"]
+        sizes = spool.save(sizes.join(kept, "component", "left_anti"))
     fixed: list[tuple[str, str]] = []
     for row in sizes.filter(F.col("n") >= max(HEAVY * total, 2)).orderBy(F.desc("n"), "component").collect():
         side = max(missing, key=lambda s: (missing[s], s))
@@ -86,4 +95,7 @@ def grouped_split(
     for s, cut in reversed(list(zip(names, cuts))):
         ranged = F.when(unit(F.col("component"), salt) < cut, s).otherwise(ranged)
     by_hand = spark.createDataFrame(fixed, "component string, _side string")
-    return placed.join(F.broadcast(by_hand), "component", "left").withColumn("split", F.coalesce("_side", ranged)).drop("_side")
+    out = placed.join(F.broadcast(by_hand), "component", "left")
+    if kept is None:
+        return out.withColumn("split", F.coalesce("_side", ranged)).drop("_side")
+    return out.join(kept, "component", "left").withColumn("split", F.coalesce("_kept", "_side", ranged)).drop("_side", "_kept")

@@ -106,3 +106,25 @@ def test_split_of_small_and_empty_tables(spark):
     assert grouped_split(spark, spark.createDataFrame([], schema), F.col("case_id"), F.col("group_id"), shares, "t:").count() == 0
     one = grouped_split(spark, spark.createDataFrame([("a", None), ("a", "g"), ("b", "g")], schema), F.col("case_id"), F.col("group_id"), shares, "t:").collect()
     assert len({r["split"] for r in one}) == 1 and len(one) == 3
+
+
+def test_recorded_splits_hold_as_rows_come_in(spark):
+    rng = random.Random(9)
+    schema, shares = "case_id string, group_id string", {"train": 0.65, "validation": 0.15, "test": 0.2}
+    first = [(f"case{i}", f"g{min(int(rng.paretovariate(0.9)), 300)}") for i in range(3000)]
+    more = first + [(f"new{i}", f"g{rng.randrange(600)}") for i in range(1500)] + [("case1", "g599"), ("late", None), (None, "g1")]
+    split = lambda rows, **how: grouped_split(spark, spark.createDataFrame(rows, schema), F.col("case_id"), F.lower("group_id"), shares, "t:", **how)
+    before = {r["case_id"]: r["split"] for r in split(first).collect()}
+    recorded = spark.createDataFrame([*before.items(), ("gone", "test"), (None, "test")], "record string, split string")
+    after = split(more, recorded=recorded).collect()
+    assert len(after) == len(more)
+    sides: dict[str, set[str]] = {}
+    for r in after:
+        sides.setdefault(r["component"], set()).add(r["split"])
+    assert all(len(s) == 1 for s in sides.values())
+    moved = [r for r in after if r["case_id"] in before and r["split"] != before[r["case_id"]]]
+    # Only what a new row has joined to a larger part of another side may move.
+    joined = next(r["component"] for r in after if r["case_id"] == "case1")
+    assert all(r["component"] == joined for r in moved)
+    for s, share in shares.items():
+        assert abs(sum(r["split"] == s for r in after) - share * len(more)) <= 0.12 * len(more)
