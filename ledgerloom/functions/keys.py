@@ -97,6 +97,25 @@ def address_key(address: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+# What a cleaned address writes shorter, in this order, and what is none.
+ADDRESS_CLEAN = (
+    ("STREET", "ST"), ("AVENUE", "AVE"), ("ROAD", "RD"), ("DRIVE", "DR"), ("BOULEVARD", "BLVD"), ("NORTH", "N"), ("SOUTH", "S"), ("EAST", "E"), ("WEST", "W"), ("SUITE", "STE"),
+    ("POST OFFICE BOX", "PO BOX"), (r"P\s*O\s*BOX", "PO BOX"), ("COUNTY ROAD", "CO RD"), ("HIGHWAY", "HWY"),
+)
+ADDRESS_JUNK = (
+    "", "NONE", "NONE PROVIDED", "NA", "N A", "UNKNOWN", "SAME", "COMPANY", "NOT PROVIDED", "NOT AVAILABLE", "ADDRESS UNKNOWN", "NO ADDRESS", "X", "XX", "TBD", "PO BOX", "BOX", "SEE ATTACHED", "VARIOUS",
+)
+
+
+def address_clean(address: Column) -> Column:
+    """An address in capitals with whole words shortened; empty for null, blank and what is no address."""
+    text = F.regexp_replace(F.upper(F.coalesce(address, F.lit(""))), "[^A-Z0-9 ]", " ")
+    for word, short in ADDRESS_CLEAN:
+        text = F.regexp_replace(text, rf"\b{word}\b", short)
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(text.isin(*ADDRESS_JUNK), "").otherwise(text)
+
+
 def person_key(name_clean: Column, business: tuple[str, ...] = BUSINESS_WORDS) -> Column:
     """FIRST|SECOND of a name of two words, or of three if the third has two letters or fewer; null for others.
 

@@ -58,6 +58,18 @@ def blur(cells: DataFrame, ny: int, nx: int, sigma: float) -> DataFrame:
     return cells.select("iy", "ix", "value")
 
 
+def box_smooth(cells: DataFrame, ny: int, nx: int, passes: int) -> DataFrame:
+    """A sparse grid whose cells are half themselves and an eighth of each of four neighbours, ``passes`` times; an edge is its own neighbour."""
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for dy, dx, w in ((0, 0, 0.5), (1, 0, 0.125), (-1, 0, 0.125), (0, 1, 0.125), (0, -1, 0.125))])
+    for _ in range(passes):
+        moved = cells.withColumn("s", F.explode(steps)).withColumns({"ty": F.col("iy") + F.col("s.dy"), "tx": F.col("ix") + F.col("s.dx")})
+        # What would leave the grid stays where it is: the cell beyond the edge is the edge cell's own double.
+        out = ~(F.col("ty").between(0, ny - 1) & F.col("tx").between(0, nx - 1))
+        moved = moved.withColumns({"ty": F.when(out, F.col("iy")).otherwise(F.col("ty")), "tx": F.when(out, F.col("ix")).otherwise(F.col("tx"))})
+        cells = moved.groupBy(F.col("ty").alias("iy"), F.col("tx").alias("ix")).agg(F.sum(F.col("value") * F.col("s.w")).alias("value"))
+    return cells
+
+
 def relief(cells: DataFrame, height: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
     """(iy, ix, value, shade): cube roots scaled to their maximum, and a hillshade from neighbours' differences."""
     scaled = cells.withColumn("z", F.cbrt("value")).withColumn("z", F.col("z") / F.max("z").over(Window.partitionBy()) * height)

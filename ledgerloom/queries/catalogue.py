@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.queries import linkage, names, places, relational, scope, skew, survey
+from ledgerloom.queries import labels, linkage, names, places, relational, scope, skew, survey, training
 
-_MODULES = [scope, relational, names, linkage, survey, places, skew]
+_MODULES = [scope, relational, names, linkage, survey, places, skew, training, labels]
 
 
 def queries() -> dict:

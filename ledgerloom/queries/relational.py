@@ -67,7 +67,9 @@ def spacing_loss(spark: SparkSession, folder: str) -> DataFrame:
     a, b = n.alias("a"), n.alias("b")
     lost = a.join(b, F.expr("a.sq = b.sq and a.name_clean < b.name_clean and a.p4 <> b.p4")).select(F.col("a.name_clean").alias("x"), F.col("b.name_clean").alias("y"))
     zips = c.filter("zipcode is not null").select("name_clean", F.substring("zipcode", 1, 5).alias("z")).distinct()
-    shared = zips.select(F.col("name_clean").alias("x"), "z").join(zips.select(F.col("name_clean").alias("y"), "z"), "z").select("x", "y").distinct().withColumn("same", F.lit(1))
+    # Only the lost pairs are looked up, first by the ZIPs of one name, then by name and ZIP of the other.
+    near = lost.join(zips.select(F.col("name_clean").alias("x"), "z"), "x").join(zips.select(F.col("name_clean").alias("y"), "z"), ["y", "z"], "left_semi")
+    shared = near.select("x", "y").distinct().withColumn("same", F.lit(1))
     return lost.join(shared, ["x", "y"], "left").agg(F.count("*").alias("lost_pairs"), F.count("same").alias("rescued_by_zip"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.keys import SEED, bucket, rank_digest
+from ledgerloom.functions.keys import ADDRESS_CLEAN, ADDRESS_JUNK, SEED, address_clean, bucket, rank_digest
 from ledgerloom.operators import cases as case_ops
 from ledgerloom.operators import evaluate, models, survey
 from ledgerloom.operators.scope import PLACEHOLDER_ADDRESSES
@@ -25,10 +25,57 @@ def _cases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _extracted(spark: SparkSession, folder: str) -> DataFrame:
+    """Cases of both registers."""
+    co = case_ops.extract_cases(table(spark, folder, "co_filings"), table(spark, folder, "co_debtors"), table(spark, folder, "co_secured_parties"), "CO")
+    return co.unionByName(case_ops.extract_cases(*case_ops.flat_register(table(spark, folder, "ct_filings")), "CT"))
+
+
 def case_extract(spark: SparkSession, folder: str) -> DataFrame:
-    """Cases of the Colorado register, lender lists as text."""
-    out = case_ops.extract_cases(table(spark, folder, "co_filings"), table(spark, folder, "co_debtors"), table(spark, folder, "co_secured_parties"), "CO")
-    return out.select("case_id", "file_id", "borrower_name_raw", F.array_join("lender_names_raw", "|").alias("lenders"), "earliest_observed_date", "latest_observed_date", "source_row_count")
+    """Cases of both registers, lender lists as text."""
+    out = _extracted(spark, folder)
+    return out.select("case_id", "region", "file_id", "lineage_id", "borrower_name_raw", F.array_join("lender_names_raw", "|").alias("lenders"), "earliest_observed_date", "latest_observed_date", "source_row_count", "source_status")
+
+
+def clean_lenders(spark: SparkSession, folder: str) -> DataFrame:
+    """Cases by how many lenders they name, as written and cleaned."""
+    out = _extracted(spark, folder)
+    return out.groupBy("region", F.size("lender_names_raw").alias("n_raw"), F.size("lender_names_clean").alias("n_clean")).agg(F.count("*").alias("cases"))
+
+
+def compare_extracts(spark: SparkSession, folder: str) -> DataFrame:
+    """The cases extracted now against those of the table: what is missing, what is new, what changed."""
+    old = table(spark, folder, "candidates").filter("case_id is not null").groupBy("case_id").agg(F.min("file_id").alias("file_id"), F.min("borrower_zip").alias("borrower_zip"))
+    new = _extracted(spark, folder).groupBy("case_id").agg(F.min("file_id").alias("file_id"), F.min("borrower_zip").alias("borrower_zip"))
+    return case_ops.compare_extracts(old, new, "case_id", ["file_id", "borrower_zip"])
+
+
+def party_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus of debtors of both registers, one row an id."""
+    co = table(spark, folder, "co_debtors").select(F.lit("CO").alias("region"), F.concat(F.lit("CO:"), "debtorid").alias("unique_id"), F.col("organizationname").alias("name_raw"), "city", "zipcode", F.col("recordstatus").alias("status"), F.col("actiontype").alias("action"))
+    ct = table(spark, folder, "ct_filings").select(
+        F.lit("CT").alias("region"), F.concat(F.lit("CT:"), "id_lien_flng_nbr").alias("unique_id"), F.col("debtor_nm_bus").alias("name_raw"), F.col("debtor_ad_city").alias("city"), F.col("debtor_ad_zip").alias("zipcode"),
+        F.col("lien_status").alias("status"), F.col("cd_flng_type").alias("action"),
+    )
+    return case_ops.party_corpus(co.unionByName(ct))
+
+
+def corpus_completeness(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each register's debtors the share with each part, and of those in force."""
+    rows = table(spark, folder, "co_debtors").select(F.lit("CO").alias("region"), "organizationname", "address1", "city", "state", "zipcode", F.col("recordstatus").alias("status"), F.col("actiontype").alias("action")).unionByName(
+        table(spark, folder, "ct_filings").select(
+            F.lit("CT").alias("region"), F.col("debtor_nm_bus").alias("organizationname"), F.col("debtor_ad_str1").alias("address1"), F.col("debtor_ad_city").alias("city"), F.col("debtor_ad_state").alias("state"),
+            F.col("debtor_ad_zip").alias("zipcode"), F.col("lien_status").alias("status"), F.col("cd_flng_type").alias("action"),
+        )
+    )
+    given = [F.round(F.avg(F.coalesce(F.trim(c) != "", F.lit(False)).cast("double")), 9).alias(f"with_{c}") for c in ("organizationname", "address1", "city", "state", "zipcode")]
+    active = case_ops.active_row(F.col("region"), F.col("status"), F.col("action"))
+    return rows.groupBy("region").agg(F.count("*").alias("n"), F.count_if(active).alias("active"), *given)
+
+
+def clean_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct addresses of debtors, cleaned for a labeller's sheet."""
+    return table(spark, folder, "co_debtors").select("address1").distinct().select("address1", address_clean(F.col("address1")).alias("cleaned"))
 
 
 def reconcile_cases(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,15 +194,52 @@ def kish_n(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    """Intervals of precision and recall by a bootstrap of groups, from a bounded draw of labelled cases."""
-    drawn = hash_draw(spark, folder).select("case_id")
-    c = _weighted(spark, folder).join(drawn, "case_id")
-    cell = lambda p: F.sum(F.when(p, F.col("weight")).otherwise(0.0))
-    cells = c.groupBy("stratum", F.coalesce("group_id", "case_id").alias("cluster")).agg(
-        cell(F.col("truth") & F.col("decided")).alias("tp"), cell(~F.col("truth") & F.col("decided")).alias("fp"), cell(F.col("truth") & ~F.col("decided")).alias("fn")
-    )
-    found = evaluate.cluster_bootstrap([tuple(r) for r in cells.collect()], 500, SEED)
-    return spark.createDataFrame([(k, *v) for k, v in sorted(found.items())], "metric string, mean double, low double, high double")
+    """Intervals of precision and recall of the score by a bootstrap of groups within strata, over all cases."""
+    c = _weighted(spark, folder).withColumn("cluster", F.coalesce("group_id", "case_id"))
+    cell = lambda p: F.when(p, F.col("weight")).otherwise(0.0)
+    reps = evaluate.replicate_sums(c, "stratum", "cluster", 200, "bootstrap", tp=cell(F.col("truth") & F.col("decided")), fp=cell(~F.col("truth") & F.col("decided")), fn=cell(F.col("truth") & ~F.col("decided")))
+    rate = lambda b: (F.col("tp") + 0.5) / (F.col("tp") + F.col(b) + 1)
+    each = reps.select(F.explode(F.array(F.struct(F.lit("precision").alias("metric"), rate("fp").alias("x")), F.struct(F.lit("recall").alias("metric"), rate("fn").alias("x")))).alias("m")).select("m.*")
+    return each.groupBy("metric").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.percentile("x", 0.025), 9).alias("low"), F.round(F.percentile("x", 0.975), 9).alias("high"))
+
+
+def shipped_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    """The threshold to ship at a weighted precision of 0.35 and a hundred cases, or why there is none."""
+    out = evaluate.select_threshold(_weighted(spark, folder), "score", "truth", "weight", 0.35, 20)
+    return out.select("threshold", "status", "fallback", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "positives")
+
+
+def probability_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the score may be called a probability."""
+    out = evaluate.probability_gate(_weighted(spark, folder), "score", "truth", "weight")
+    return out.select(F.round("ece", 9).alias("ece"), F.round("region_ece", 9).alias("region_ece"), "region_cases", "score_type")
+
+
+def banded_precision(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision and estimated recall from each band of scores up, of a labelled fifth of the cases."""
+    c = _cases(spark, folder)
+    out = evaluate.banded_precision(c.filter(bucket(F.col("case_id"), "band") < 20), c, "score", "truth", [0.0, 0.25, 0.5, 0.75, 1.0])
+    return out.select("threshold", "n", *[F.round(x, 9).alias(x) for x in ("precision", "low", "high", "recall")])
+
+
+def split_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision and recall of the score and of the rules, over all, by region and by stratum."""
+    c = _weighted(spark, folder).withColumns({"cluster": F.coalesce("group_id", "case_id"), "baseline": F.col("stratum").endswith("accepted")})
+    out = evaluate.split_report(c, {"region": F.substring_index("stratum", ":", 1), "stratum": F.col("stratum")}, "stratum", "cluster", "truth", "decided", "baseline", "weight", 100, "report")
+    return out.select("part", "arm", "n", *[F.round(x, 9).alias(x) for x in ("precision", "precision_low", "precision_high", "recall", "recall_low", "recall_high")])
+
+
+def calibration_method(spark: SparkSession, folder: str) -> DataFrame:
+    """Which calibration the true cases suffice for."""
+    method, n = models.choose_calibration(_weighted(spark, folder), "truth", "weight", 200.0)
+    return spark.createDataFrame([(method, round(n, 6))], "method string, n_eff double")
+
+
+def fitted_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights of the cases normalised over those with a group, by stratum."""
+    p = F.when(F.col("stratum").endswith("accepted"), 0.5).otherwise(0.1)
+    out = models.normalised_weights(_cases(spark, folder).withColumn("probability", p), "probability", F.col("group_id").isNotNull())
+    return out.groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 9).alias("weight"))
 
 
 def group_folds(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,6 +268,7 @@ def unresolved_share(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     case_extract, reconcile_cases, domain_check, stratum_sizes, hash_draw, grouped_split, split_leaks, blind_queue, agreement_report, agreement_kappa, wilson_ci,
     weighted_confusion, ht_weights, stratified_precision, threshold_choice, average_precision, ece_bins, kish_n, bootstrap_intervals,
+    clean_lenders, compare_extracts, party_corpus, corpus_completeness, clean_addresses, shipped_threshold, probability_gate, banded_precision, split_report, calibration_method, fitted_weights,
     group_folds, isotonic_knots, zero_fp_point, unresolved_share,
 )}
 
@@ -204,14 +289,51 @@ _BORROWERS = "sha256(to_json([" + ", ".join(
     "regexp_replace(upper(coalesce({0}, '')), '^[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}]+|[\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}]+$', '', 'g')".format(c) for c in ("organizationname", "address1", "city", "state", "zipcode")
 ) + "]))"
 _JUNK = ", ".join(f"'{a}'" for a in PLACEHOLDER_ADDRESSES)
+_extract = lambda region, f, d, l: f"""
+    d{region} AS (SELECT fileid, min(TRY_CAST(substr(filingdate, 1, 10) AS DATE)) AS lo, max(TRY_CAST(substr(filingdate, 1, 10) AS DATE)) AS hi, min(masterdocumentid) AS ma, max(coalesce(terminationflag = 'true', false)) AS en FROM {f} WHERE substr(filingdate, 1, 4) >= '1990' GROUP BY 1),
+    p{region} AS (SELECT fileid, {_BORROWERS} AS bk, min(organizationname) AS raw, min(zipcode) AS zip, count(*) AS n FROM {d} WHERE trim(organizationname) <> '' AND upper(trim(address1)) NOT IN ({_JUNK}) AND fileid IS NOT NULL GROUP BY 1, 2),
+    l{region} AS (SELECT fileid, array_to_string(list_sort(list(DISTINCT organizationname)), '|') AS lenders FROM {l} WHERE trim(organizationname) <> '' GROUP BY 1),
+    x{region} AS (SELECT sha256(to_json(['{region}', p.fileid, bk])) AS case_id, '{region}' AS region, p.fileid AS file_id, sha256(to_json(['{region}', coalesce(ma, p.fileid)])) AS lineage_id, raw AS borrower_name_raw, coalesce(lenders, '') AS lenders,
+        lo AS earliest_observed_date, hi AS latest_observed_date, n AS source_row_count, CASE WHEN en THEN 'terminated' ELSE 'active' END AS source_status, zip AS borrower_zip
+        FROM p{region} p JOIN d{region} d ON p.fileid = d.fileid LEFT JOIN l{region} l ON p.fileid = l.fileid)"""
+_FLAT = """(SELECT id_lien_flng_nbr AS fileid, dt_accept AS filingdate, id_lien_flng_nbr AS masterdocumentid, CAST(lien_status <> 'Active' AS VARCHAR) AS terminationflag, debtor_nm_bus AS organizationname, debtor_ad_str1 AS address1,
+    debtor_ad_city AS city, debtor_ad_state AS state, debtor_ad_zip AS zipcode FROM ct_filings)"""
+_EXTRACT = _extract("CO", "co_filings", "co_debtors", "co_secured_parties") + ", " + _extract("CT", _FLAT, _FLAT, "(SELECT id_lien_flng_nbr AS fileid, sec_party_nm_bus AS organizationname FROM ct_filings)") + ", ex AS (SELECT * FROM xCO UNION ALL SELECT * FROM xCT)"
+_CLEAN = "regexp_replace(upper(coalesce(address1, '')), '[^A-Z0-9 ]', ' ', 'g')"
+for _word, _short in ADDRESS_CLEAN:
+    _CLEAN = f"regexp_replace({_CLEAN}, '\\b{_word}\\b', '{_short}', 'g')"
 
 ORACLE = {
-    "case_extract": f"""
-        WITH d AS (SELECT fileid, min(TRY_CAST(substr(filingdate, 1, 10) AS DATE)) AS lo, max(TRY_CAST(substr(filingdate, 1, 10) AS DATE)) AS hi FROM co_filings WHERE substr(filingdate, 1, 4) >= '1990' GROUP BY 1),
-        p AS (SELECT fileid, {_BORROWERS} AS bk, min(organizationname) AS raw, count(*) AS n FROM co_debtors WHERE trim(organizationname) <> '' AND upper(trim(address1)) NOT IN ({_JUNK}) AND fileid IS NOT NULL GROUP BY 1, 2),
-        l AS (SELECT fileid, array_to_string(list_sort(list(DISTINCT organizationname)), '|') AS lenders FROM co_secured_parties WHERE trim(organizationname) <> '' GROUP BY 1)
-        SELECT sha256(to_json(['CO', p.fileid, bk])) AS case_id, p.fileid AS file_id, raw AS borrower_name_raw, coalesce(lenders, '') AS lenders, lo AS earliest_observed_date, hi AS latest_observed_date, n AS source_row_count
-        FROM p JOIN d ON p.fileid = d.fileid LEFT JOIN l ON p.fileid = l.fileid""",
+    "case_extract": f"""WITH {_EXTRACT} SELECT case_id, region, file_id, lineage_id, borrower_name_raw, lenders, earliest_observed_date, latest_observed_date, source_row_count, source_status FROM ex""",
+    "compare_extracts": f"""
+        WITH {_EXTRACT}, o AS (SELECT case_id, min(file_id) AS file_id, min(borrower_zip) AS z FROM candidates WHERE case_id IS NOT NULL GROUP BY 1), n AS (SELECT case_id, min(file_id) AS file_id, min(borrower_zip) AS z FROM ex GROUP BY 1),
+        b AS (SELECT o.case_id AS a, n.case_id AS b, coalesce(o.file_id <> n.file_id, false) AS cf, (o.z IS DISTINCT FROM n.z) AND o.case_id IS NOT NULL AND n.case_id IS NOT NULL AS cz FROM o FULL JOIN n ON o.case_id = n.case_id),
+        s AS (SELECT count(a) AS ka, count(b) AS kb, count(*) FILTER (WHERE b IS NULL) AS gone, count(*) FILTER (WHERE a IS NULL) AS came, count(*) FILTER (WHERE cf) AS cf, count(*) FILTER (WHERE cz) AS cz, count(*) FILTER (WHERE a IS NULL OR b IS NULL OR cf OR cz) AS x FROM b),
+        r AS (SELECT 'keys' AS measure, ka AS old, kb AS new FROM s UNION ALL SELECT 'missing', 0, gone FROM s UNION ALL SELECT 'extra', 0, came FROM s UNION ALL SELECT 'changed_file_id', 0, cf FROM s UNION ALL SELECT 'changed_borrower_zip', 0, cz FROM s UNION ALL SELECT 'parity', 0, x FROM s)
+        SELECT measure, old, new, new - old AS delta, new = old AS equal FROM r""",
+    "corpus_completeness": """
+        WITH r AS (SELECT 'CO' AS region, organizationname, address1, city, state, zipcode, recordstatus = 'active' AND NOT coalesce(actiontype IN ('delete only', 'change and delete'), false) AS a FROM co_debtors
+                   UNION ALL SELECT 'CT', debtor_nm_bus, debtor_ad_str1, debtor_ad_city, debtor_ad_state, debtor_ad_zip, lien_status = 'Active' AND NOT coalesce(cd_flng_type IN ('RELEASE ORIG', 'RELEASE', 'PARTIAL RELEASE'), false) FROM ct_filings)
+        SELECT region, count(*) AS n, count(*) FILTER (WHERE a) AS active, """ + ", ".join(f"round(avg(CASE WHEN trim({c}) <> '' THEN 1.0 ELSE 0 END), 9) AS with_{c}" for c in ("organizationname", "address1", "city", "state", "zipcode")) + " FROM r GROUP BY 1",
+    "clean_addresses": "SELECT address1, CASE WHEN t IN (" + ", ".join(f"'{a}'" for a in ADDRESS_JUNK) + ") THEN '' ELSE t END AS cleaned FROM (SELECT DISTINCT address1, trim(regexp_replace(" + _CLEAN + ", '\\s+', ' ', 'g')) AS t FROM co_debtors)",
+    "banded_precision": f"""
+        WITH {_CASES}, b AS (SELECT CAST(floor(score * 4) AS INTEGER) AS band, count(*) AS size, count(*) FILTER (WHERE l) AS n, count(*) FILTER (WHERE l AND truth) AS k FROM (SELECT *, {_bucket("band", 100)} < 20 AS l FROM c) GROUP BY 1),
+        u AS (SELECT band, sum(n) OVER d AS n, sum(size) OVER d AS s, sum(size * k / n) OVER d AS t, sum(size * k / n) OVER () AS al, sum(size * size * (k / n) * (1 - k / n) / n) OVER d AS v FROM b WHERE n > 0 WINDOW d AS (ORDER BY band DESC ROWS UNBOUNDED PRECEDING))
+        SELECT band * 0.25::DOUBLE AS threshold, CAST(n AS BIGINT) AS n, round(t / s, 9) AS precision, round(greatest(t / s - {evaluate.Z!r}::DOUBLE * sqrt(v) / s, 0), 9) AS low, round(least(t / s + {evaluate.Z!r}::DOUBLE * sqrt(v) / s, 1), 9) AS high, round(t / al, 9) AS recall FROM u""",
+    "shipped_threshold": f"""
+        WITH {_WEIGHTED}, s AS (SELECT score, sum(CASE WHEN truth THEN weight ELSE 0 END) AS t, sum(CASE WHEN truth THEN 0 ELSE weight END) AS f, count(*) AS n FROM w GROUP BY 1),
+        u AS (SELECT score, sum(t) OVER d AS tp, sum(f) OVER d AS fp, sum(n) OVER d AS n, sum(t) OVER () AS p FROM s WINDOW d AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+        v AS (SELECT score AS threshold, tp / (tp + fp) AS pr, tp / p AS re, coalesce(2 * (tp / (tp + fp)) * (tp / p) / nullif(tp / (tp + fp) + tp / p, 0), 0) AS f1, n FROM u WHERE n >= 20),
+        k AS (SELECT *, pr >= 0.35 AS held FROM v ORDER BY held DESC, CASE WHEN held THEN re ELSE f1 END DESC, CASE WHEN held THEN pr END DESC, threshold DESC LIMIT 1)
+        SELECT threshold, CASE WHEN held THEN 'production' ELSE 'experimental' END AS status, CASE WHEN NOT held THEN 'max_f1' END AS fallback, round(pr, 9) AS precision, round(re, 9) AS recall, round(f1, 9) AS f1, CAST(n AS BIGINT) AS positives FROM k""",
+    "calibration_method": f"WITH {_WEIGHTED}, k AS (SELECT coalesce(sum(weight) * sum(weight) / sum(weight * weight), 0) AS n FROM w WHERE truth) SELECT CASE WHEN n >= 200 THEN 'isotonic' ELSE 'sigmoid' END AS method, round(n, 6) AS n_eff FROM k",
+    "fitted_weights": f"WITH {_WEIGHTED} SELECT stratum, count(*) AS n, round(avg(weight / (SELECT avg(weight) FROM w WHERE group_id IS NOT NULL)), 9) AS weight FROM w GROUP BY 1",
+    "bootstrap_intervals": f"""
+        WITH {_WEIGHTED}, p AS (SELECT stratum, coalesce(group_id, case_id) AS cl, sum(CASE WHEN truth AND decided THEN weight ELSE 0 END) AS tp, sum(CASE WHEN NOT truth AND decided THEN weight ELSE 0 END) AS fp, sum(CASE WHEN truth AND NOT decided THEN weight ELSE 0 END) AS fn FROM w GROUP BY 1, 2),
+        e AS (SELECT *, -ln((CAST('0x' || substr(md5('bootstrap:' || draw || ':' || cl), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE) AS g FROM p, (SELECT unnest(range(1, 201)) AS draw)),
+        m AS (SELECT draw, stratum, sum(g * tp) / avg(g) AS tp, sum(g * fp) / avg(g) AS fp, sum(g * fn) / avg(g) AS fn FROM e GROUP BY 1, 2), r AS (SELECT draw, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM m GROUP BY 1),
+        x AS (SELECT 'precision' AS metric, (tp + 0.5) / (tp + fp + 1) AS x FROM r UNION ALL SELECT 'recall', (tp + 0.5) / (tp + fn + 1) FROM r)
+        SELECT metric, round(avg(x), 9) AS mean, round(quantile_cont(x, 0.025), 9) AS low, round(quantile_cont(x, 0.975), 9) AS high FROM x GROUP BY 1""",
     "reconcile_cases": """
         WITH a AS (SELECT DISTINCT file_id FROM candidates WHERE region = 'CO' AND file_id IS NOT NULL), b AS (SELECT DISTINCT fileid FROM co_filings WHERE fileid IS NOT NULL)
         SELECT count(file_id) AS left_keys, count(fileid) AS right_keys, count(*) FILTER (WHERE file_id IS NOT NULL AND fileid IS NOT NULL) AS both,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -107,10 +109,11 @@ class PagedReader(DataSourceReader):
         yield from fetch(partition.offset, self.size, self.where)
 
 
-def land_pages(fetch: Callable[[int, int], str], folder: Path, size: int) -> int:
+def land_pages(fetch: Callable[[int, int], str], folder: Path, size: int, tries: int = 4, pause: float = 1.0) -> int:
     """Pages landed as files, each by an atomic rename; pages already there are kept, so a stopped walk resumes.
 
-    ``fetch`` gives a page as text with one row a line; the walk ends at the first page shorter than ``size``.
+    ``fetch`` gives a page as CSV text; the walk ends at the first page of fewer rows than ``size``, where a line end
+    within quotes ends no row.  A fetch that fails is tried again after a pause that doubles each time.
     """
     folder.mkdir(parents=True, exist_ok=True)
     offset = 0
@@ -118,13 +121,31 @@ def land_pages(fetch: Callable[[int, int], str], folder: Path, size: int) -> int
         page = folder / f"{offset:09d}.csv"
         if not page.exists():
             part = page.with_suffix(".part")
-            part.write_text(fetch(offset, size))
+            part.write_text(_fetched(fetch, offset, size, tries, pause))
             part.rename(page)
-        if sum(1 for _ in page.open()) < size:
+        with page.open(newline="") as rows:
+            short = sum(1 for _ in csv.reader(rows)) < size
+        if short:
             return offset // size + 1
         offset += size
 
 
+def _fetched(fetch: Callable[[int, int], str], offset: int, size: int, tries: int, pause: float) -> str:
+    for k in range(tries):
+        try:
+            return fetch(offset, size)
+        except OSError:
+            if k == tries - 1:
+                raise
+            time.sleep(pause * 2**k)
+    raise ValueError("no try was allowed")
+
+
+def write_csv_once(df: DataFrame, path: str) -> None:
+    """One CSV with a header, in order of all columns; a path that exists is an error, never overwritten."""
+    df.orderBy(*[F.col(f"`{c}`") for c in df.columns]).coalesce(1).write.mode("error").option("header", True).csv(path)
+
+
 def export_ordered(df: DataFrame, path: str) -> dict:
     """Parquet in zstd, rows in order of all columns, and its manifest: rows and a digest of their contents.
 

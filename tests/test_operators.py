@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import statistics
 
@@ -176,12 +177,20 @@ def test_screening(spark):
     df = spark.createDataFrame([("Ab c", None), ("", None)], "t string, x string")
     assert df.select(screening.word_ngrams(F.col("t"))).first()[0] == ["AB", "C", "AB C"]
     assert df.select(screening.char_ngrams(F.col("t"), 3, 4)).first()[0] == [" AB", "AB ", " AB ", " C ", " C "]
-    rows = [(f"c{i}", "red crane works" if i % 2 else "blue bank trust", i % 2 == 1) for i in range(80)] + [("n", None, None), ("long", "x" * 400, None)]
-    data = spark.createDataFrame(rows, "id string, t string, y boolean")
-    model = screening.fit_screen(data.filter("y is not null"), "id", "t", "y", features=256)
-    got = {r["id"]: r for r in screening.score_rows(model, data, "id", "t").collect()}
-    assert got["c1"]["score"] > 0.9 and got["c0"]["score"] < 0.1
-    assert got["n"]["validation_error"] == "empty" and got["long"]["validation_error"] == "too long" and got["n"]["score"] is None
+    rows = [(f"c{i}", "red crane works" if i % 2 else "blue bank trust", ["acme"] * (21 if i == 8 else 1), i % 2 == 1) for i in range(80)] + [("n", None, None, None), ("long", "x" * 400, [], None)]
+    data = spark.createDataFrame(rows, "id string, t string, l array<string>, y boolean").withColumn("score", F.lit("clash"))
+    model = screening.fit_screen(data.filter("y is not null"), "id", ["t"], "y", penalties=(0.1, 10.0))
+    got = {r["id"]: r for r in screening.score_rows(model, data, "id", ["t"], "l").collect()}
+    assert got["c1"]["score"] > 0.8 and got["c0"]["score"] < 0.2 and len(got) == len(rows)
+    assert got["n"]["validation_error"] == "empty" and got["long"]["validation_error"] == "too long" and got["n"]["score"] is None and got["c8"]["validation_error"] == "too many lenders"
+    # A score is the intercept and all contributions; a term that too few rows hold is none.
+    terms = {(r["block"], r["term"]): (r["idf"], r["coefficient"]) for r in model.terms.collect()}
+    assert ("t:word", "RED") in terms and not any("XX" in t for _, t in terms)
+    why = screening.contributions(model, data.filter("id = 'c1'"), "id", ["t"], 1000).collect()
+    total = model.intercept + sum(r["contribution"] for r in why)
+    assert abs(1 / (1 + math.exp(-total)) - got["c1"]["score"]) < 1e-5 and [abs(r["contribution"]) for r in why] == sorted((abs(r["contribution"]) for r in why), reverse=True)
+    empty = screening.fit_screen(data.filter("y"), "id", ["t"], "y")
+    assert screening.score_rows(empty, data, "id", ["t"]).filter("score is not null").count() == 80
 
 
 def test_linear_models(spark):

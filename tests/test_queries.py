@@ -101,6 +101,25 @@ def test_documents(spark, tmp_path):
     assert documents.verify_sums(tmp_path) == ["a.json", "new"]
 
 
+def test_pages_with_line_ends_in_quotes_and_failing_fetches(spark, tmp_path):
+    asked = []
+
+    def fetch(offset: int, size: int) -> str:
+        asked.append(offset)
+        if len(asked) in (1, 3):
+            raise OSError("busy")
+        return 'a,"two\nlines"\nb,c\n' if offset == 0 else 'd,"one\nrow"\n'
+
+    assert files.land_pages(fetch, tmp_path / "pages", 2, pause=0.0) == 2 and asked == [0, 0, 2, 2]
+    with pytest.raises(OSError):
+        files.land_pages(lambda o, s: (_ for _ in ()).throw(OSError("down")), tmp_path / "none", 2, tries=2, pause=0.0)
+    df = spark.createDataFrame([("b", 1), ("a", 2)], "k string, n int")
+    files.write_csv_once(df, str(tmp_path / "csv"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == [("a", "2"), ("b", "1")]
+    with pytest.raises(Exception, match="exist"):
+        files.write_csv_once(df, str(tmp_path / "csv"))
+
+
 def test_export_and_manifest(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, None)], "a int, b string")
     m = files.export_ordered(df, str(tmp_path / "out"))
