@@ -229,6 +229,12 @@ ORACLE = {
     "cluster_summary": f"""WITH RECURSIVE {_CLUSTERS}, z AS (SELECT count(*) AS n FROM m GROUP BY cluster)
         SELECT count(*) AS clusters, CAST(median(n) AS DOUBLE) AS p50, CAST(quantile_cont(n, 0.95) AS DOUBLE) AS p95, max(n) AS largest, CAST(sum(n) AS BIGINT) AS ids,
                round(100 * max(n) / sum(n), 4) AS largest_pct, round(100 * max(n) / sum(n), 4) <= 1.0 AS within_bar FROM z""",
+    "churn_base_vs_full": f"""
+        WITH RECURSIVE {_CLUSTERS}, b AS (SELECT DISTINCT unique_id AS id FROM corpus_debtors_eq WHERE NOT is_holdout AND unique_id IS NOT NULL), p0 AS (SELECT p.* FROM p WHERE u IN (SELECT id FROM b) AND v IN (SELECT id FROM b)),
+        e0 AS (SELECT u AS a, v AS b FROM p0 WHERE w >= {FLOOR} UNION SELECT v, u FROM p0 WHERE w >= {FLOOR}), i0 AS (SELECT u AS id FROM p0 UNION SELECT v FROM p0),
+        s0 AS (SELECT id, id AS seen FROM i0 UNION SELECT s0.id, e0.b FROM s0 JOIN e0 ON s0.seen = e0.a), m0 AS (SELECT id, min(seen) AS cluster FROM s0 GROUP BY 1),
+        j AS (SELECT m0.id, m0.cluster AS c0, m.cluster AS c1 FROM m0 JOIN m ON m.id = m0.id), c AS (SELECT *, count(*) OVER (PARTITION BY c0) AS n0, count(*) OVER (PARTITION BY c1) AS n1, count(*) OVER (PARTITION BY c0, c1) AS n01 FROM j)
+        SELECT count(*) AS ids, count(*) FILTER (WHERE n01 < n0 OR n01 < n1) AS changed FROM c""",
     "best_links": f"""WITH {_SCORED}, s AS (SELECT u AS node, * FROM p WHERE w >= {FLOOR} UNION ALL SELECT v, * FROM p WHERE w >= {FLOOR}),
         k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, u, v) AS rn FROM s) SELECT DISTINCT u, v, w FROM k WHERE rn = 1""",
     "name_floor_grid": f"WITH {_NAMED} " + " UNION ALL ".join(

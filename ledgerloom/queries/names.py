@@ -225,6 +225,10 @@ ORACLE = {
         SELECT a, b, CAST(edits AS INTEGER) AS edits, round(1 - edits / longest, 6) AS ratio, round(len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))), 6) AS jaccard,
                a = b OR 1 - edits / longest >= 0.72 OR (length(x) >= 8 AND length(x) / length(y) >= 0.4 AND length(x) <= length(y) AND starts_with(y, x))
                  OR (length(y) >= 8 AND length(y) / length(x) >= 0.4 AND length(y) <= length(x) AND starts_with(x, y)) AS coheres FROM d""",
+    "jaro_winkler_always": f"""
+        WITH {_ZIPNAMES}, j AS (SELECT a, b, jaro_similarity(a, b) AS j, CASE WHEN substr(a, 1, 4) = substr(b, 1, 4) THEN least(length(a), length(b), 4) WHEN substr(a, 1, 3) = substr(b, 1, 3) THEN 3 WHEN substr(a, 1, 2) = substr(b, 1, 2) THEN 2
+               WHEN substr(a, 1, 1) = substr(b, 1, 1) THEN 1 ELSE 0 END AS l FROM p)
+        SELECT a, b, round(j + 0.1 * l * (1 - j), 9) AS always, round(jaro_winkler_similarity(a, b), 9) AS jw FROM j""",
     "jaro_winkler_pairs": f"WITH {_ZIPNAMES} SELECT a, b, round(jaro_winkler_similarity(a, b), 9) AS jw FROM p WHERE jaro_winkler_similarity(a, b) >= 0.7",
     "token_min_similarity": f"""
         WITH {_ZIPNAMES}, t AS (SELECT a, b, list_filter(string_split(a, ' '), lambda x: x <> '') AS u, list_filter(string_split(b, ' '), lambda x: x <> '') AS v FROM p),

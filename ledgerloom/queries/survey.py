@@ -250,7 +250,8 @@ def group_folds(spark: SparkSession, folder: str) -> DataFrame:
 
 def isotonic_knots(spark: SparkSession, folder: str) -> DataFrame:
     """Knots of a calibration that never falls."""
-    return spark.createDataFrame(models.isotonic(_weighted(spark, folder), "score", "truth", "weight"), "score double, calibrated double")
+    knots = [(x, round(y, 9)) for x, y in models.isotonic(_weighted(spark, folder), "score", "truth", "weight")]
+    return spark.createDataFrame(knots, "score double, calibrated double")
 
 
 def zero_fp_point(spark: SparkSession, folder: str) -> DataFrame:
@@ -326,6 +327,11 @@ ORACLE = {
         v AS (SELECT score AS threshold, tp / (tp + fp) AS pr, tp / p AS re, coalesce(2 * (tp / (tp + fp)) * (tp / p) / nullif(tp / (tp + fp) + tp / p, 0), 0) AS f1, n FROM u WHERE n >= 20),
         k AS (SELECT *, pr >= 0.35 AS held FROM v ORDER BY held DESC, CASE WHEN held THEN re ELSE f1 END DESC, CASE WHEN held THEN pr END DESC, threshold DESC LIMIT 1)
         SELECT threshold, CASE WHEN held THEN 'production' ELSE 'experimental' END AS status, CASE WHEN NOT held THEN 'max_f1' END AS fallback, round(pr, 9) AS precision, round(re, 9) AS recall, round(f1, 9) AS f1, CAST(n AS BIGINT) AS positives FROM k""",
+    "isotonic_knots": f"""
+        WITH {_WEIGHTED}, s AS (SELECT score, sum(CASE WHEN truth THEN weight ELSE 0 END) AS t, sum(weight) AS x FROM w GROUP BY 1),
+        n AS (SELECT score, t, x, row_number() OVER (ORDER BY score) AS i, sum(t) OVER (ORDER BY score) AS ct, sum(x) OVER (ORDER BY score) AS cx FROM s),
+        a AS (SELECT j.i AS j, k.i AS k, (k.ct - j.ct + j.t) / (k.cx - j.cx + j.x) AS mean FROM n j JOIN n k ON k.i >= j.i), f AS (SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS least FROM a),
+        y AS (SELECT k, round(max(least), 9) AS calibrated FROM f GROUP BY 1) SELECT min(score) AS score, calibrated FROM y JOIN n ON n.i = y.k GROUP BY calibrated""",
     "calibration_method": f"WITH {_WEIGHTED}, k AS (SELECT coalesce(sum(weight) * sum(weight) / sum(weight * weight), 0) AS n FROM w WHERE truth) SELECT CASE WHEN n >= 200 THEN 'isotonic' ELSE 'sigmoid' END AS method, round(n, 6) AS n_eff FROM k",
     "fitted_weights": f"WITH {_WEIGHTED} SELECT stratum, count(*) AS n, round(avg(weight / (SELECT avg(weight) FROM w WHERE group_id IS NOT NULL)), 9) AS weight FROM w GROUP BY 1",
     "bootstrap_intervals": f"""
