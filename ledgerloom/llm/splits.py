@@ -66,7 +66,7 @@ def grouped_split(
     )
     several = least.filter("_first <> _last")
     links = keyed.join(several, "_r").select(F.col("_own").alias("u"), F.col("_first").alias("v"))
-    roots = star_components(spark, links).select(F.col("id").alias("_own"), F.col("component").alias("_top"))
+    roots = spool.save(star_components(spark, links).select(F.col("id").alias("_own"), F.col("component").alias("_top")))
     placed = spool.save(keyed.join(roots, "_own", "left").withColumn("component", F.coalesce("_top", "_own")).drop("_r", "_own", "_top"))
     sizes = spool.save(placed.groupBy("component").agg(F.count("*").alias("n")).withColumn("h", unit(F.col("component"), salt)))
     total = sizes.agg(F.sum("n")).first()[0] or 0
