@@ -13,6 +13,8 @@ from ledgerloom.sources.tables import table
 
 TRADE = ["EXCAVATING", "PAVING", "CRANE", "DRILLING", "DEMOLITION", "LOADER", "QUARRY"]
 SURNAMES = ["CRANE", "LOADER", "QUARRY"]
+#: Words of the lender rule, and what undoes it.
+LENDER, VETO = ["EQUIPMENT", "MACHINERY", "CAPITAL", "LEASING"], r"\b(?:FARM|AGRICULTURAL)\b"
 #: What only firms write in their name, and families' ways of naming.
 FIRM, FAMILY = r"\b(?:INC|LLC|CORP|LTD|CO)\b", r"\b(?:BROS|BROTHERS|FAMILY)\b|& SONS?\b"
 CLASSES = {"earth": ["EXCAVATING", "DRILLING", "QUARRY"], "road": ["PAVING", "ASPHALT"], "building": ["ROOFING", "MASONRY", "CARPENTRY"]}
@@ -84,6 +86,18 @@ def rule_flags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lender_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Which lenders' names meet the lender rule, which a veto's words undo."""
+    n = table(spark, folder, "co_secured_parties").select("organizationname").distinct()
+    return n.select("organizationname", rules.has_word(F.col("organizationname"), LENDER, unless=VETO).alias("qualifies"))
+
+
+def plain_person_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct clean names with the person key that no business word vetoes."""
+    c = table(spark, folder, "corpus_debtors_eq").filter("name_clean is not null").select("name_clean").distinct()
+    return c.select("name_clean", keys.person_key(F.col("name_clean"), ()).alias("pkey"))
+
+
 def rule_words(spark: SparkSession, folder: str) -> DataFrame:
     """Names by the plain trade rule and by the classes of their words."""
     return rule_flags(spark, folder).groupBy("plain", "classes").agg(F.count("*").alias("n"))
@@ -144,7 +158,7 @@ def similarity_bands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    normalize_names, suffix_counts, content_ids, holdout_flags, address_keys, person_keys, normal_texts, rule_flags, rule_words, case_routes,
+    normalize_names, suffix_counts, content_ids, holdout_flags, address_keys, person_keys, normal_texts, rule_flags, lender_flags, plain_person_keys, rule_words, case_routes,
     masked_names, edit_distance_pairs, jaro_winkler_pairs, token_min_similarity, jaro_winkler_always, similarity_bands,
 )}
 
@@ -210,6 +224,11 @@ ORACLE = {
                     ELSE len(list_filter(parts, lambda x: ends_with(x, 'S') AND NOT regexp_full_match(x, '{_TRADE_SQL}') AND NOT list_contains(risky, x))) > 0 END AS guarded,
                array_to_string(list_filter([CASE WHEN regexp_matches(u, '\b(ROOFINGS?|MASONRYS?|CARPENTRYS?)\b') THEN 'building' END,
                CASE WHEN regexp_matches(u, '\b(EXCAVATINGS?|DRILLINGS?|QUARRYS?)\b') THEN 'earth' END, CASE WHEN regexp_matches(u, '\b(PAVINGS?|ASPHALTS?)\b') THEN 'road' END], lambda x: x IS NOT NULL), '+') AS classes FROM s""",
+    "lender_flags": r"""
+        SELECT DISTINCT organizationname, regexp_matches(upper(coalesce(organizationname, '')), '\b(EQUIPMENTS?|MACHINERYS?|CAPITALS?|LEASINGS?)\b') AND NOT regexp_matches(upper(coalesce(organizationname, '')), '\b(FARM|AGRICULTURAL)\b') AS qualifies FROM co_secured_parties""",
+    "plain_person_keys": """
+        WITH c AS (SELECT DISTINCT name_clean, string_split(name_clean, ' ') AS t FROM corpus_debtors_eq WHERE name_clean IS NOT NULL)
+        SELECT name_clean, CASE WHEN len(t) BETWEEN 2 AND 3 AND NOT regexp_matches(name_clean, '[0-9]') AND (len(t) < 3 OR length(t[3]) <= 2) THEN t[1] || '|' || t[2] END AS pkey FROM c""",
     "rule_words": rf"""
         WITH n AS (SELECT DISTINCT upper(coalesce(organizationname, '')) AS u, organizationname FROM co_debtors)
         SELECT regexp_matches(u, '{_TRADE_SQL}') AS plain, array_to_string(list_filter([CASE WHEN regexp_matches(u, '\b(ROOFINGS?|MASONRYS?|CARPENTRYS?)\b') THEN 'building' END,
