@@ -11,8 +11,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import addresses, formatting
 from ledgerloom.llm.addresses import ABBREVIATED, LIMIT, Place, alignment_cost, read_address, same_place
-from ledgerloom.llm import formatting
 from ledgerloom.llm.formatting import collapse, column_hashes, same_field, same_in_order
 from ledgerloom.llm.names import COSINE, Vocabulary, average_linkage, cosine_pairs, gram_vectors, name_words, read_name, same_name, same_spelling
 from ledgerloom.llm.spelling import distance
@@ -211,6 +211,28 @@ def test_same_place_pairs(spark):
     assert same_place(spark, spark.createDataFrame([], "key string, street string, city string, code string")).count() == 0
 
 
+def test_links_are_those_of_all_pairs_and_a_case_is_sent_once(spark, monkeypatch):
+    rng = random.Random(6)
+    names = ["TAJOFOS", "TAJOFSO", "TAJOFOSS", "MT VIEW", "MOUNT VIEW", "#8", "#9", "ZELIMUT", "OAK", "OK"]
+    towns = [("BOVIL", "80001"), ("BOVIL", ""), ("", "80001"), ("BOVLI", "80002"), ("KRUMEL", "80555"), ("", "")]
+    places = [Place(rng.choice(["1", "2", "34"]), rng.choice(["", "N", "S"]), rng.choice(names), rng.choice(["", "DR", "RD"]), rng.choice(["", "", "4"]), *rng.choice(towns)) for _ in range(300)]
+    places = list(dict.fromkeys(places + [p._replace(number="") for p in places[:40] if p.city or p.zip]))
+    signs = addresses.bands(places)
+    where = [{k + v for k, v in (("Z", p.zip), ("B", p.city[:3]), ("E", p.city[-5:])) if v} for p in places]
+    want = {
+        (i, j)
+        for (i, p), (j, q) in itertools.combinations(enumerate(places), 2)
+        if (where[i] & where[j] or not where[i] or not where[j]) and (signs[i] == signs[j]).any() and alignment_cost(p, q) < LIMIT
+    }
+    cases = spark.createDataFrame([(i, "|".join(p)) for i, p in enumerate(places)], "id long, text string")
+    assert "Generate" not in addresses._links(cases)._jdf.queryExecution().toString()
+    monkeypatch.setattr(addresses, "STEP", 50)
+    for hot in (10**6, 60, 5):
+        monkeypatch.setattr(addresses, "HOT_CASES", hot)
+        got = [tuple(r) for r in addresses._links(cases).collect()]
+        assert len(want) > 100 and sorted(got) == sorted(want), hot
+
+
 def _concat(s):
     return None if s is None else re.sub(r"[\W_]+", "", s.lower())
 
