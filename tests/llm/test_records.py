@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import addresses, formatting
 from ledgerloom.llm.addresses import ABBREVIATED, LIMIT, Place, alignment_cost, read_address, same_place
 from ledgerloom.llm.formatting import collapse, column_hashes, same_field, same_in_order
-from ledgerloom.llm.names import COSINE, Vocabulary, average_linkage, cosine_pairs, gram_vectors, name_words, read_name, same_name, same_spelling
+from ledgerloom.llm.names import COSINE, Vocabulary, _odd_letters, average_linkage, cosine_pairs, gram_vectors, name_words, read_name, same_name, same_spelling
 from ledgerloom.llm.spelling import distance
 from ledgerloom.plans.spool import Spool
 
@@ -112,6 +112,17 @@ def test_every_pair_that_reaches_the_cosine_is_found(spark):
     assert any(s < COSINE and same_spelling(names[i], names[j]) for (i, j), s in cosine.items())
 
 
+def test_trigrams_are_made_where_they_are_weighed_and_odd_letters_drop_no_pair(spark):
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("ABÉ1") for _ in range(rng.choice((4, 5, 7, 8)))) for _ in range(300)})
+    df = spark.createDataFrame(list(enumerate(words)), "id long, part string")
+    # Once by id; the counts are small here.
+    assert gram_vectors(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    odd = {r["part"]: r["odd"] for r in df.select("part", _odd_letters(F.col("part")).alias("odd")).collect()}
+    same = [(a, b) for a, b in itertools.combinations(words, 2) if same_spelling(a, b)]
+    assert len(same) > 100 and all((odd[a] ^ odd[b]).bit_count() <= (2 if max(len(a), len(b)) <= 7 else 4) for a, b in same)
+
+
 def test_rare_words_in_another_order_are_one_name(spark):
     rows = [
         ("a1", "ZOTROWAR, QUENBY"), ("a2", "QUENBY ZOTROWAR"), ("a3", "Quenby Zotrowra"), ("b1", "GOKRESTEN WUPELMAT LLC"), ("b2", "WUPELMAT GOKRESTEN INC"),
