@@ -88,7 +88,7 @@ def test_no_row_of_a_pair_reaches_python(spark, folder, name):
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
 
 
-@pytest.mark.parametrize("name", ["fs_em_by_rule", "resolve_clusters", "fs_em_parameters"])
+@pytest.mark.parametrize("name", ["fs_em_by_rule", "resolve_clusters", "fs_em_parameters", "resolve_summary"])
 def test_blocked_pairs_are_not_joined(spark, folder, monkeypatch, name):
     def refuse(records):
         raise AssertionError("joined")
